@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import buckets_for, cut, n_words
 
 BIG = 4096
+#: Weights of bytes, tokens and rows in the dot product; the law that holds is that of bytes.
+WEIGHTS = np.array([4.0, 1.0, 1.0])
 
 
 def place(vectors: np.ndarray, residual: np.ndarray, capacity: np.ndarray, turn: int = 0) -> np.ndarray:
@@ -28,16 +30,16 @@ def place(vectors: np.ndarray, residual: np.ndarray, capacity: np.ndarray, turn:
     ``residual`` (shards x measures) is lowered in place.  Vectors and residuals are taken relative to ``capacity``.
     Equal products go to the shard that follows ``turn``.
     """
-    scaled, left = vectors / capacity, residual / capacity
+    scaled, left = vectors / capacity * WEIGHTS, residual / capacity * WEIGHTS
     chosen = np.empty(len(vectors), np.int32)
     n = len(left)
     left = np.roll(left, -(turn % n), axis=0)
-    for i in np.argsort(-scaled.max(axis=1), kind="stable"):
+    for i in np.argsort(-(vectors / capacity).max(axis=1), kind="stable"):
         v = scaled[i]
         at = int(np.argmax(left @ v))
         left[at] -= v
         chosen[i] = at
-    residual[:] = np.roll(left, turn % n, axis=0) * capacity
+    residual[:] = np.roll(left / WEIGHTS, turn % n, axis=0) * capacity
     return (chosen + turn % n) % n
 
 
@@ -65,25 +67,19 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     # fewer than 3 * BIG groups can weigh more than a BIG-th of the corpus in one of three measures
     limit = [max(x / BIG, 1.0) for x in whole]
     big = groups.where((F.col("size") > limit[0]) | (F.col("tokens") > limit[1]) | (F.col("n") > limit[2])).where("n > 1").orderBy("digest").collect()
-    pieces: list[tuple[int, int]] = []
-    vectors = []
-    for k, g in enumerate(big):
-        v = np.array([g["size"], g["tokens"], g["n"]], float)
-        cuts = min(int(g["n"]), max(1, int(np.ceil(4 * (v / capacity).max()))))
-        pieces += [(k, cuts)] * cuts
-        vectors += [v / cuts] * cuts
-    where = place(np.array(vectors), residual, capacity) if pieces else np.empty(0, int)
-    of_group: list[list[int]] = [[] for _ in big]
-    for (k, _), s in zip(pieces, where):
-        of_group[k].append(int(s))
-
     spark = docs.sparkSession
-    placed = spark.createDataFrame([(bytes(g["digest"]), s) for g, s in zip(big, of_group)], "digest binary, places array<int>")
-    by_id = F.xxhash64("id", "size")
-    rows = rows.join(F.broadcast(placed), "digest", "left").select(
-        "id", "size", "tokens", "crc", F.col("digest"),
-        F.expr("element_at(places, cast(pmod(xxhash64(id), size(places)) + 1 as int))").alias("given"),
-        F.pmod(F.when(F.col("places").isNull(), F.xxhash64("digest")).otherwise(by_id), F.lit(n_buckets)).cast("int").alias("bucket"),
+    cuts = [min(int(g["n"]), max(1, int(np.ceil(4 * (np.array([g["size"], g["tokens"], g["n"]], float) / capacity).max())))) for g in big]
+    table = spark.createDataFrame([(bytes(g["digest"]), k, c) for k, (g, c) in enumerate(zip(big, cuts))], "digest binary, grp int, cuts int")
+    # rows of a big group go to pieces by their id, so pieces are counted before they are placed; a group has no more
+    # pieces than quarters of a shard that it fills
+    rows = rows.join(F.broadcast(table), "digest", "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    counted = rows.where("grp is not null").groupBy("grp", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).orderBy("grp", "piece").collect()
+    vectors = np.array([(p["size"], p["tokens"], p["n"]) for p in counted], float).reshape(-1, 3)
+    given = place(vectors, residual, capacity) if len(counted) else []
+    placed = spark.createDataFrame([(p["grp"], p["piece"], int(s)) for p, s in zip(counted, given)], "grp int, piece int, given int")
+    rows = rows.join(F.broadcast(placed), ["grp", "piece"], "left").select(
+        "id", "size", "tokens", "crc", "digest", "given",
+        F.pmod(F.when(F.col("given").isNull(), F.xxhash64("digest")).otherwise(F.xxhash64("id", "size")), F.lit(n_buckets)).cast("int").alias("bucket"),
     )
     free = residual.copy()
 
@@ -95,9 +91,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
             own = pdf.loc[loose]
             code, _ = pd.factorize(own["digest"])
             vec = np.column_stack([np.bincount(code, own["size"]), np.bincount(code, own["tokens"]), np.bincount(code)]).astype(float)
-            room = np.maximum(free, 0)
-            room = room / np.maximum(room.sum(axis=0), 1e-9) * vec.sum(axis=0)
-            spot[loose] = place(vec, room, np.maximum(vec.sum(axis=0) / shards, 1.0), turn=int(key[0]))[code]
+            share = vec.sum(axis=0) / np.maximum(free.sum(axis=0), 1e-9)
+            spot[loose] = place(vec, free * share, capacity * share[0], turn=int(key[0]))[code]
         spot = spot.astype(np.int32)
         local = pd.Series(spot).groupby(spot).cumcount()
         return pd.DataFrame({"id": pdf["id"].astype("Int64"), "size": pdf["size"], "tokens": pdf["tokens"], "crc": pdf["crc"], "bucket": pdf["bucket"], "shard": spot, "local": local})
