@@ -5,7 +5,8 @@ categories, which in training are out-of-fold predictions, so that it learns fro
 see.  Models are logistic regressions over the presence of selected words and a few text statistics.
 
 Training uses at most ``sample_rows`` labelled documents (those of smallest hash); the vocabulary of each category is
-the ``vocabulary`` words whose document counts there depart most from independence (chi-squared).  Both bound what the
+the ``vocabulary`` words whose document counts there depart most from independence (chi-squared of ``least_chi2`` or
+more, which a word reaches by chance less than once in a million).  Both bound what the
 driver holds.  Every document is scored, over its whole text.  The threshold of a category is the one with the best F1
 over out-of-fold predictions.
 
@@ -59,8 +60,8 @@ class Rows:
         return new
 
 
-def logistic(x: Rows, y: np.ndarray, penalty: float = 2e-4, steps: int = 250) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of features and dense columns and the intercept, by Adam on the penalised mean log loss."""
+def logistic(x: Rows, y: np.ndarray, penalty: float = 1.0, steps: int = 250) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of features and dense columns and the intercept, by Adam on the log loss plus penalty / 2 times the squared weights."""
     rate = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
     w, v, b = np.zeros(x.width), np.zeros(x.dense.shape[1]), np.log(rate / (1 - rate))
     if not len(y) or y.min() == y.max():
@@ -71,7 +72,7 @@ def logistic(x: Rows, y: np.ndarray, penalty: float = 2e-4, steps: int = 250) ->
         p = 1 / (1 + np.exp(-np.clip(x.dot(flat[: x.width], flat[x.width : -1]) + flat[-1], -30, 30)))
         r = (p - y) / len(y)
         gw, gv = x.back(r)
-        g = np.concatenate([gw, gv, [r.sum()]]) + penalty * np.r_[flat[:-1], 0]
+        g = np.concatenate([gw, gv, [r.sum()]]) + penalty / len(y) * np.r_[flat[:-1], 0]
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         flat = flat - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return flat[: x.width], flat[x.width : -1], float(flat[-1])
@@ -118,7 +119,7 @@ def train_chain(features: list[np.ndarray], stats: np.ndarray, labels: np.ndarra
     return {"models": models, "thresholds": thresholds, "f1": scores, "oof": np.column_stack(out_of_fold)}
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, vocabulary: int = 1_500, min_docs: int = 4) -> dict:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, vocabulary: int = 1_500, min_docs: int = 4, least_chi2: float = 25.0) -> dict:
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories]).dropna()
     # at most sample_rows rows
@@ -145,7 +146,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
         expected = F.col("df") * (pos / max(n, 1))
         score = F.pow(F.col(c) - expected, F.lit(2)) / (expected * (1 - F.col("df") / F.lit(max(n, 1))) + 0.5)
         # a fixed number of words, the model's size
-        for r in counts.orderBy(score.desc(), "word").select("word").limit(vocabulary).collect():
+        for r in counts.where(score >= least_chi2).orderBy(score.desc(), "word").select("word").limit(vocabulary).collect():
             vocab.setdefault(r["word"], len(vocab))
     words = spark.createDataFrame(list(vocab.items()), "word string, f int") if vocab else spark.createDataFrame([], "word string, f int")
     found = rows.select("id", F.explode("words").alias("word")).join(F.broadcast(words), "word").groupBy("id").agg(F.sort_array(F.collect_set("f")).alias("f"))
