@@ -93,10 +93,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, s
     place = permuted(F.col("j") % F.col("m"), F.col("m"), seed, F.col("src"), F.floor(F.col("j") / F.col("m")).cast("long"))
     uses = slots.select("src", place.alias("block")).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
 
-    # one row for each source
+    # one row for each source; whether it is broadcast is left to its size
     named = spark.createDataFrame([(k, r["source"], sizes[k], goal[k]) for k, r in enumerate(sums)], "src int, source string, source_size long, target double")
     n_buckets = buckets_for(sum(int(r["n"]) for r in sums))
-    rows = rows.join(F.broadcast(named.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "source")
+    rows = rows.join(named.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "source")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n_buckets)))
     upto = Window.partitionBy("src", "bucket").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = cut(rows.withColumn("inner", F.coalesce(F.sum("size").over(upto), F.lit(0))))
