@@ -21,7 +21,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 _LAST = np.iinfo(np.int64).max
 _SENT = "block int, bucket int, data binary"
-_BITS = "block int, bits_bucket int, bits binary"
+_BITS = "block int, level int, bits_bucket int, bits binary"
 _MUL, _MUL2, _SHIFT, _S32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32)
 
 
@@ -78,7 +78,7 @@ class _Block:
         counts = np.fromiter(map(len, self.words), np.int64, len(order))
         self.ends = np.cumsum(counts)
         total = int(self.ends[-1]) if len(order) else 0
-        flat = np.fromiter((_words[w] for ws in self.words for w in ws), np.uint64, total)
+        flat = np.fromiter(map(_words.__getitem__, chain.from_iterable(self.words)), np.uint64, total)
         if not keep_words:
             self.words = None
         key = np.array([_LAST if x is None else x for x in self.ids], np.int64)
@@ -91,21 +91,20 @@ class _Block:
         short = _hashes(flat, half) if total >= window else np.empty(0, np.uint64)
         if len(self.starts):
             spread = np.lib.stride_tricks.sliding_window_view(short, window - half + 1)
-            anchor = np.empty(len(spread), np.int64)
-            for a in range(0, len(spread), 1 << 18):
-                anchor[a : a + (1 << 18)] = spread[a : a + (1 << 18)].argmin(axis=1)
-            anchor = short[anchor[self.starts] + self.starts]
-            long_ = _hashes(flat, window)
-            self.long = long_[self.starts]
+            at = np.empty(len(spread), np.int64)
+            for a in range(0, len(spread), 1 << 16):
+                at[a : a + (1 << 16)] = spread[a : a + (1 << 16)].argmin(axis=1)
+            at = at[self.starts] + self.starts
+            # neighbouring windows mostly share their representative's place
+            head = np.r_[True, at[1:] != at[:-1]]
+            self.run_of, anchor = np.cumsum(head) - 1, short[at[head]]
+            self.long = _hashes(flat, window)[self.starts]
         else:
-            anchor = self.long = np.empty(0, np.uint64)
-        self.doc = key[np.searchsorted(self.ends, self.starts, side="right")]
+            head, self.run_of, anchor, self.long = np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.doc = np.repeat(key, counts)[self.starts] if total else np.empty(0, np.int64)
         self.anchors, self.anchor_of = np.unique(anchor, return_inverse=True)
         # the same representative in several documents of this block
-        low, high = np.full(len(self.anchors), _LAST), np.full(len(self.anchors), np.iinfo(np.int64).min)
-        np.minimum.at(low, self.anchor_of, self.doc)
-        np.maximum.at(high, self.anchor_of, self.doc)
-        self.several = low < high
+        self.several = _ends(self.anchor_of, self.doc[head], len(self.anchors))
 
     def candidates(self, bits: dict[int, np.ndarray], buckets: int):
         """Windows whose representative is repeated: their places, distinct hashes, index of the hash, smallest id of each."""
@@ -113,11 +112,18 @@ class _Block:
         for bucket, at in _dealt(self.anchors, buckets):
             if bucket in bits:
                 flag[at] |= bits[bucket][: len(at)].astype(bool)
-        live = np.flatnonzero(flag[self.anchor_of])
-        hashes, of = np.unique(self.long[live], return_inverse=True)
-        least = np.full(len(hashes), _LAST)
-        np.minimum.at(least, of, self.doc[live])
-        return live, hashes, of, least
+        live = np.flatnonzero(flag[self.anchor_of][self.run_of])
+        hashes, first, of = np.unique(self.long[live], return_index=True, return_inverse=True)
+        # windows are in the order of ids, so the first of equals has the smallest
+        return live, hashes, of, self.doc[live][first]
+
+
+def _ends(group: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Whether a group has several documents; rows are in the order of documents."""
+    low, high = np.empty(n, np.int64), np.empty(n, np.int64)
+    high[group] = doc
+    low[group[::-1]] = doc[::-1]
+    return low < high
 
 
 def _dealt(hashes: np.ndarray, buckets: int):
@@ -136,11 +142,11 @@ def _table(columns: list[list], schema: pa.Schema) -> pa.Table:
 
 
 _SENT_SCHEMA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
-_BITS_SCHEMA = pa.schema([("block", pa.int32()), ("bits_bucket", pa.int32()), ("bits", pa.binary())])
+_BITS_SCHEMA = pa.schema([("block", pa.int32()), ("level", pa.int32()), ("bits_bucket", pa.int32()), ("bits", pa.binary())])
 
 
-def _bits(flags: pa.Table) -> dict[int, np.ndarray]:
-    return {k: np.unpackbits(np.frombuffer(v, np.uint8)) for k, v in zip(flags.column("bits_bucket").to_pylist(), flags.column("bits").to_pylist())}
+def _bits(flags: pa.Table, level: int) -> dict[int, np.ndarray]:
+    return {k: np.unpackbits(np.frombuffer(v, np.uint8)) for own, k, v in zip(*(flags.column(c).to_pylist() for c in ("level", "bits_bucket", "bits"))) if own == level}
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", block_mb: int = 8) -> DataFrame:
@@ -156,6 +162,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     n_blocks = max(8, -(-size // block_bytes))
     n_buckets = max(8, -(-size // (24 << 20)))
     blocks = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # one plan with this one exchange of the texts, which Spark reuses for all three readers
+    blocks = blocks.repartition("block")
 
     def send_short(table: pa.Table) -> pa.Table:
         block = _Block(table, window)
@@ -168,15 +176,16 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         every = np.sort(np.concatenate(parts))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         bits = [np.packbits(np.isin(p, twice)).tobytes() for p in parts]
-        return _table([table.column("block").to_pylist(), table.column("bucket").to_pylist(), bits], _BITS_SCHEMA)
+        return _table([table.column("block").to_pylist(), [1] * len(bits), table.column("bucket").to_pylist(), bits], _BITS_SCHEMA)
 
     def send_long(table: pa.Table, flags: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([[], [], []], _SENT_SCHEMA)
         block = _Block(table, window)
         at = table.column("block")[0].as_py()
-        _, hashes, _, least = block.candidates(_bits(flags), n_buckets)
-        sent = []
+        _, hashes, _, least = block.candidates(_bits(flags, 1), n_buckets)
+        # the bits of level 1 go along (after a 0 byte): the last step needs them too
+        sent = [(at, k, b"\0" + x) for k, x in zip(flags.column("bits_bucket").to_pylist(), flags.column("bits").to_pylist())]
         for k, i in _dealt(hashes, n_buckets):
             own = least[i]
             narrow = own.astype(np.uint32) if own.min() >= 0 and own.max() < 2**32 else own
@@ -184,35 +193,44 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         return _table(list(zip(*sent)) or [[], [], []], _SENT_SCHEMA)
 
     def repeated_long(table: pa.Table) -> pa.Table:
-        hashes, ids = [], []
-        for x in table.column("data").to_pylist():
+        bucket, out, hashes, ids, senders = table.column("bucket")[0].as_py(), [], [], [], []
+        for block, x in zip(table.column("block").to_pylist(), table.column("data").to_pylist()):
+            if x[0] == 0:
+                out.append((block, 1, bucket, x[1:]))
+                continue
             n = (len(x) - 1) // (8 + x[0])
             hashes.append(np.frombuffer(x, np.uint64, n, 1))
             ids.append(np.frombuffer(x, np.uint32 if x[0] == 4 else np.int64, n, 1 + 8 * n).astype(np.int64))
-        every, own = np.concatenate(hashes), np.concatenate(ids)
-        _, of = np.unique(every, return_inverse=True)
-        least = np.full(of.max() + 1, _LAST)
-        np.minimum.at(least, of, own)
-        flag, bits, done = least[of] < own, [], 0
-        for h in hashes:
-            bits.append(np.packbits(flag[done : done + len(h)]).tobytes())
-            done += len(h)
-        return _table([table.column("block").to_pylist(), table.column("bucket").to_pylist(), bits], _BITS_SCHEMA)
+            senders.append(block)
+        if hashes:
+            every, own = np.concatenate(hashes), np.concatenate(ids)
+            order = np.lexsort((own, every))
+            ordered = every[order]
+            head = np.r_[True, ordered[1:] != ordered[:-1]]
+            flag = np.empty(len(every), bool)
+            flag[order] = own[order][head][np.cumsum(head) - 1] < own[order]
+            done = 0
+            for block, h in zip(senders, hashes):
+                out.append((block, 2, bucket, np.packbits(flag[done : done + len(h)]).tobytes()))
+                done += len(h)
+        return _table(list(zip(*out)), _BITS_SCHEMA)
 
     out_schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
-    def finish(table: pa.Table, short_flags: pa.Table, long_flags: pa.Table) -> pa.Table:
+    def finish(table: pa.Table, flags: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _table([[], [], [], []], out_schema)
         block = _Block(table, window, keep_words=True)
-        live, hashes, of, least = block.candidates(_bits(short_flags), n_buckets)
-        earlier, bits = np.zeros(len(hashes), bool), _bits(long_flags)
+        live, hashes, of, least = block.candidates(_bits(flags, 1), n_buckets)
+        earlier, bits = np.zeros(len(hashes), bool), _bits(flags, 2)
         for k, i in _dealt(hashes, n_buckets):
             if k in bits:
                 earlier[i] = bits[k][: len(i)].astype(bool)
         gone = block.starts[live[earlier[of] | (least[of] < block.doc[live])]]
-        edges = np.zeros(block.total + 1, np.int32)
+        edges = np.zeros(block.total + window + 1, np.int32)
         edges[gone] += 1
-        np.subtract.at(edges, gone + window, 1)
-        stays = np.cumsum(edges[:-1]) == 0
+        edges[gone + window] -= 1
+        stays = np.cumsum(edges[: block.total]) == 0
         n, removed, text, a = [], [], [], 0
         for words, b in zip(block.words, block.ends.tolist()):
             own = stays[a:b]
@@ -223,24 +241,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
             a = b
         return _table([block.ids, n, removed, text], out_schema)
 
-    short = blocks.groupBy("block").applyInArrow(send_short, _SENT).groupBy("bucket").applyInArrow(repeated_short, _BITS)
-    short_flags = _cut_flags(short)
-    long_sent = blocks.groupBy("block").cogroup(short_flags.groupBy("block")).applyInArrow(send_long, _SENT)
-    long_flags = _cut_flags(long_sent.groupBy("bucket").applyInArrow(repeated_long, _BITS))
-    both = short_flags.withColumn("level", F.lit(1)).unionByName(long_flags.withColumn("level", F.lit(2)))
-
-    def finish_levels(table: pa.Table, flags: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _table([[], [], [], []], out_schema)
-        level = np.array(flags.column("level").to_pylist(), int)
-        return finish(table, flags.filter(pa.array(level == 1)), flags.filter(pa.array(level == 2)))
-
-    done = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish_levels, "id long, n_words long, n_removed long, kept_text string")
+    short_bits = blocks.groupBy("block").applyInArrow(send_short, _SENT).groupBy("bucket").applyInArrow(repeated_short, _BITS)
+    long_sent = blocks.groupBy("block").cogroup(short_bits.groupBy("block")).applyInArrow(send_long, _SENT)
+    bits = long_sent.groupBy("bucket").applyInArrow(repeated_long, _BITS)
+    done = blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(finish, "id long, n_words long, n_removed long, kept_text string")
     return done.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text")
-
-
-def _cut_flags(flags: DataFrame) -> DataFrame:
-    """A bit for each hash sent: small enough to be written, which spares the levels below from being run again."""
-    from .common import cut
-
-    return cut(flags)
