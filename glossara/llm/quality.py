@@ -156,17 +156,18 @@ def fit(rows: DataFrame, support: float = 0.75, steps: int = 4, floors: tuple[fl
         *[(F.get(f"p{i}", F.lit(1)) / 1000).alias(f"m{i}") for i in range(DIMS)],
         *[(F.pow((F.get(f"p{i}", F.lit(2)) - F.get(f"p{i}", F.lit(0))) / 1349, F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _PAIRS],
     )
-    estimate = _factor(start, floors)
+    estimate = cut(_factor(start, floors).coalesce(8))
     consistent = support / chi2_cdf(chi2_quantile(support, DIMS), DIMS + 2)
     up_to, whole = Window.partitionBy("grp").orderBy("step"), Window.partitionBy("grp")
     for _ in range(steps):
         ranked = _distance(rows, estimate).withColumn("step", F.floor(64 * F.log1p("d2")).cast("int"))
         steps_ = _moments(ranked, "grp", "step").withColumn("upto", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(whole))
         subset = steps_.where(F.col("upto") - F.col("n") < support * F.col("all")).groupBy("grp").agg(*_sums())
-        estimate = _estimate(subset, consistent, floors)
+        # a row for each group, written after each step: one plan of all steps would be very large
+        estimate = cut(_estimate(subset, consistent, floors).coalesce(8))
     inner = 0.975
     kept = _distance(rows, estimate).where(F.col("d2") <= chi2_quantile(inner, DIMS))
-    return _estimate(_moments(kept, "grp"), inner / chi2_cdf(chi2_quantile(inner, DIMS), DIMS + 2), floors)
+    return cut(_estimate(_moments(kept, "grp"), inner / chi2_cdf(chi2_quantile(inner, DIMS), DIMS + 2), floors).coalesce(8))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("lang", "source"), support: float = 0.75, min_group: int = 200, cutoff: float = 36.0) -> DataFrame:
