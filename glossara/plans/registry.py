@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import affect, graphs, stores, texts, work  # noqa: F401
+    from . import affect, graphs, more, stores, texts, work  # noqa: F401

@@ -52,10 +52,10 @@ def keyword_registry(rows: DataFrame, categories: DataFrame) -> DataFrame:
     return known.groupBy("label").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
 
 
-def gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a GEXF file, read with Spark's XML source; attribute values as a map."""
+def gexf(spark: SparkSession, path: str, edge_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a GEXF file (or of folders of part files), read with Spark's XML source; attribute values as a map."""
     pairs = "attvalues struct<attvalue:array<struct<_for:string,_value:string>>>"
     nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, _label string, {pairs}").load(path)
-    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_id string, _source string, _target string, _weight double, {pairs}").load(path)
+    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_id string, _source string, _target string, _weight double, {pairs}").load(edge_path or path)
     attrs = F.map_from_entries(F.transform("attvalues.attvalue", lambda a: F.struct(a["_for"], a["_value"]))).alias("attrs")
     return nodes.select(F.col("_id").alias("id"), F.col("_label").alias("term"), attrs), edges.select(F.col("_source").alias("u"), F.col("_target").alias("v"), F.col("_weight").alias("weight"), attrs)

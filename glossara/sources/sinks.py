@@ -37,6 +37,15 @@ def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> bool:
     return True
 
 
+def write_gexf_parts(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """The elements of a GEXF graph as XML part files, nodes and edges in a folder each; any size, any file system."""
+    pair = lambda *names: F.struct(F.array(*[F.struct(F.lit(n).alias("_for"), F.col(n).cast("string").alias("_value")) for n in names]).alias("attvalue")).alias("attvalues")
+    n = nodes.select(F.col("id").cast("string").alias("_id"), F.col("term").alias("_label"))
+    e = edges.select(F.concat_ws("-", "u", "v").alias("_id"), F.col("u").cast("string").alias("_source"), F.col("v").cast("string").alias("_target"), F.col("weight").alias("_weight"), pair("relationship", "dimension"))
+    for df, root, row in ((n, "nodes", "node"), (e, "edges", "edge")):
+        df.write.format("xml").option("rootTag", root).option("rowTag", row).save(f"{folder}/{root}")
+
+
 def write_transcripts(rows: DataFrame, folder: str) -> None:
     rows.select("text").write.mode("overwrite").text(folder)
 
