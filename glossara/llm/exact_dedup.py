@@ -1,8 +1,9 @@
 """Exact deduplication by content sort.
 
-Texts are range-partitioned on (bytes, id) with splitters that Spark samples from all rows and sorted externally inside
-each partition, so equal texts are adjacent and every text is compared in full with its neighbour.  As the id is part of
-the sort key, a group of copies of any size is cut over as many partitions as its share of the rows asks for.  A run of
+Texts are range-partitioned on (leading bytes, digest, id) with splitters that Spark samples from all rows and sorted
+externally inside each partition, so equal texts are adjacent and every text is compared in full with its neighbour.  The
+sampled keys are short, whatever the texts.  As the id is part of the key, a group of copies of any size is cut over as
+many partitions as its share of the rows asks for.  A run of
 equals that touches the edge of its partition may go on in the next one; only those runs, two for each partition at
 most, are joined once more by their full bytes.
 
@@ -12,7 +13,6 @@ kept; an empty table gives an empty result; columns other than id and text are i
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
 
+#: Leading bytes in the sort key; longer common beginnings are told apart by the digest.
+LEAD = 32
+
 _RUNS = "id long, keep_id long, n long, sha string, chosen boolean, part int, edge int, edge_text binary"
 _SCHEMA = pa.schema([("id", pa.int64()), ("keep_id", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("chosen", pa.bool_()), ("part", pa.int32()), ("edge", pa.int32()), ("edge_text", pa.binary())])
 
@@ -40,20 +43,20 @@ def _runs(largest: bool):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        text, ids, first, out = None, [], True, []
+        text, digest, ids, first, out = None, "", [], True, []
         for batch in batches:
-            for t, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for t, sha, i in zip(*(c.to_pylist() for c in batch.columns)):
                 if t != text:
                     if text is not None:
-                        out += close(text, ids, hashlib.sha256(text).hexdigest(), part, 1 if first else 0)
+                        out += close(text, ids, digest, part, 1 if first else 0)
                         first = False
-                    text, ids = t, []
+                    text, digest, ids = t, sha, []
                 ids.append(i)
             if len(out) > 20_000:
                 yield _batch(out)
                 out = []
         if text is not None:
-            out += close(text, ids, hashlib.sha256(text).hexdigest(), part, 3 if first else 2)
+            out += close(text, ids, digest, part, 3 if first else 2)
         if out:
             yield _batch(out)
 
@@ -75,7 +78,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest = keep == "largest"
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = F.coalesce(normalise(text), F.lit("")) if normalise else text
-    sorted_rows = docs.select(text.cast("binary").alias("t"), F.col(id_col).cast("long").alias("i")).repartitionByRange("t", "i").sortWithinPartitions("t", "i")
+    rows = docs.select(text.cast("binary").alias("t"), F.col(id_col).cast("long").alias("i")).withColumn("sha", F.sha2("t", 256)).withColumn("lead", F.substring("t", 1, LEAD))
+    key = ["lead", "sha", "i"]
+    sorted_rows = rows.repartitionByRange(*key).sortWithinPartitions("lead", "sha", "t", "i").select("t", "sha", "i")
     runs = cut(sorted_rows.mapInArrow(_runs(largest), _RUNS))
     edges = runs.where("edge_text is not null").select("part", "edge", "edge_text", "n", "keep_id")
     best = F.max if largest else F.min
