@@ -10,7 +10,7 @@ is reached or no candidate survives:
 * level 2, twice that length, overlapping down to ``window``: surviving windows are grouped by a 64-bit hash, in buckets
   dealt by other bits, and the smallest document id of each is found.
 
-Texts are dealt once, by the hash of their id, to blocks of a few MB; both levels and the result use that one exchange.
+Texts are dealt once, by the hash of their id and size, to blocks of a few MB; both levels and the result use that one exchange.
 A block sends each distinct hash once, so a passage that is in a third of all documents is at most one entry for each
 block, and gets back one bit for each entry it sent.  All hashing and sorting is done on arrays.
 
@@ -161,7 +161,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     block_bytes = min(64, max(block_mb, size // 2_000_000_000)) << 20
     n_blocks = max(8, -(-size // block_bytes))
     n_buckets = max(8, -(-size // (24 << 20)))
-    blocks = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.octet_length(F.col(text_col))), F.lit(n_blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # one plan with this one exchange of the texts, which Spark reuses for all three readers
     blocks = blocks.repartition("block")
 
