@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from glossara.plans import registry
@@ -21,10 +22,18 @@ def con():
     return c
 
 
+def value(x):
+    if x is None or isinstance(x, float) and x != x or x is pd.NaT or x is pd.NA:
+        return None
+    if isinstance(x, bool) or getattr(getattr(x, "dtype", None), "kind", "") == "b":
+        return bool(x)
+    if isinstance(x, (int, float)) or getattr(getattr(x, "dtype", None), "kind", "") in "iuf" and hasattr(x, "dtype"):
+        return None if x != x else round(float(x), 6) + 0.0
+    return x
+
+
 def rows(df):
-    own = df[sorted(df.columns)]
-    value = lambda x: None if x is None or x is not x else (round(float(x), 6) + 0.0 if isinstance(x, float) or hasattr(x, "dtype") and x.dtype.kind == "f" else (int(x) if hasattr(x, "dtype") and x.dtype.kind in "iu" else x))
-    return sorted((tuple(float(y) if isinstance(y, int) and not isinstance(y, bool) else y for y in map(value, r)) for r in own.itertuples(index=False)), key=repr)
+    return sorted((tuple(map(value, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
 
 def same(a, b):
