@@ -21,6 +21,7 @@ keep one row each, ordered by text; an empty table makes no files and an empty r
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -82,7 +83,7 @@ class Writer:
         end = len(data) if last else len(data) // step * step
         for a in range(0, end, step):
             ids = np.frombuffer(data[a : min(a + step, end)], "<u4")
-            packed = [self.zip.compress(p) if any(p) else b"" for p in planes(ids, self.mode)]
+            packed = [self.zip.compress(p) if p.strip(b"\0") else b"" for p in planes(ids, self.mode)]
             self.chunks.append([self.at, len(ids), [len(p) for p in packed]])
             self._write(b"".join(packed))
             self.n += len(ids)
@@ -130,15 +131,24 @@ def read(source) -> Iterator[tuple[int | None, bytes]]:
         data = data[4 * count :]
 
 
+#: Letters that a piece may be made of, and white space as the tokenizer's pattern has it.
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_S = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library.
 
-    Its pre-tokenizer never lets a piece go on past a single space that stands between two characters that are not
-    white space: the space begins the next piece.  So a text is cut there, and the library encodes each distinct piece
-    once for as long as the (bounded) table remembers it.
+    Its pre-tokenizer starts a new piece at a single space before other characters, between a letter and a character
+    that is no letter (but for contractions, after an apostrophe), and around the last character of white space.  The
+    pattern here cuts only there, and keeps together whatever it is not sure of.  So the library is asked for each
+    distinct piece once, for as long as the (bounded) table remembers it; pieces of a space and letters are given to it
+    many at a time, as one text, and told apart by their bytes.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    PIECES = re.compile(f" ?[{_L}]+(?![^\\W\\d_])| ?(?:[^{_S}{_L}]+(?:(?<=[^\\W\\d_])[{_L}]+|(?<=')[{_L}]+)?)+| ?[^{_S}]+|[{_S}]+(?=[{_S}][^{_S}])|[{_S}]+")
+
+    def __init__(self, path: str, remember: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.path, self.remember = path, remember
@@ -146,32 +156,58 @@ class Encoder:
         kind = json.loads(self.model.to_str())
         pre = kind.get("pre_tokenizer") or {}
         added = kind.get("added_tokens") or []
-        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer") and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer")
+        # a special string must reach the library in one piece: texts that hold one are not cut
+        self.special = [x["content"] for x in added]
+        vocab = self.model.get_vocab()
+        self.bytes_of = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, k in vocab.items():
+            self.bytes_of[k] = len(token)
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
-        if not self.cuts:
+        if not self.cuts or any(x in text for x in self.special):
             return [text]
-        parts = text.split(" ")
-        out, held = [parts[0]], bool(parts[0]) and not parts[0][-1].isspace()
-        for p in parts[1:]:
-            if held and p and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-            held = bool(p) and not p[-1].isspace()
-        return out
+        return self.PIECES.findall(text)
+
+    def _learn(self, new: list[str]) -> None:
+        spaced = [p for p in new if p[0] == " " and p[1:].isalpha()] if self.cuts else []
+        bare = [p for p in new if p.isalpha()] if self.cuts else []
+        # letters end at a newline, which is a piece of its own before other characters
+        for own, between in ((spaced, ""), (bare, "\n")):
+            groups = [own[a : a + 1024] for a in range(0, len(own), 1024)]
+            for group, found in zip(groups, self.model.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(found.ids, "<u4")
+                at = np.r_[0, np.cumsum(self.bytes_of[ids])]
+                sizes = np.array([len(p.encode()) for p in group])
+                ends = np.cumsum(sizes + len(between)) - len(between)
+                data = ids.tobytes()
+                for p, a, b in zip(group, (4 * np.searchsorted(at, ends - sizes)).tolist(), (4 * np.searchsorted(at, ends)).tolist()):
+                    self.known[p] = data[a:b]
+        rest = list(set(new).difference(spaced, bare))
+        for a in range(0, len(rest), 4096):
+            own = rest[a : a + 4096]
+            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(own, self.model.encode_batch_fast(own, add_special_tokens=False)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+        get, out, gaps = self.known.get, [], []
+        for t in texts:
+            ps = self.pieces(t)
+            ids = list(map(get, ps))
+            out.append(ids)
+            if None in ids:
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    gaps.append((ids, at, ps[at]))
+        new = list({p for _, _, p in gaps})
+        if len(self.known) + len(new) > self.remember:
+            self.known.clear()
+        self._learn(new)
         known = self.known
-        new = list({p for ps in cut for p in ps if p not in known})
-        if len(known) + len(new) > self.remember:
-            known.clear()
-            new = list({p for ps in cut for p in ps})
-        fresh = {p: np.array(e.ids, "<u4").tobytes() for a in range(0, len(new), 4096) for p, e in zip(new[a : a + 4096], self.model.encode_batch_fast(new[a : a + 4096], add_special_tokens=False))}
-        known.update(fresh)
-        return [b"".join(map(known.__getitem__, ps)) for ps in cut]
+        for ids, at, p in gaps:
+            ids[at] = known[p]
+        return [b"".join(ids) for ids in out]
 
 
 _encoders: dict[str, Encoder] = {}
