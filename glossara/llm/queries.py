@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack
 from .quality import quality
+from .quality_sql import quality_sql
 from .sharding import shard
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
@@ -95,6 +96,7 @@ gone_list AS (SELECT rid, list(p) AS ps FROM gone GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
   sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
 FROM docs LEFT JOIN gone_list USING (rid)""",
+    "op5_quality": quality_sql(),
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
