@@ -91,6 +91,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, s
     slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("c"))
     slots = slots.select("src", "m", F.explode(F.sequence(F.col("j0") + F.col("c"), F.col("j0") + F.least(F.col("c") + CHUNK, F.col("n")) - 1)).alias("j"))
     place = permuted(F.col("j") % F.col("m"), F.col("m"), seed, F.col("src"), F.floor(F.col("j") / F.col("m")).cast("long"))
+    # Spark's estimate for what is made from the small plan table knows nothing of its slots, so the join below is told
+    # not to broadcast it
     uses = slots.select("src", place.alias("block")).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
 
     # one row for each source; whether it is broadcast is left to its size
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, s
     first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size)
     pieces = rows.where("size > 0").select("src", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     low, high = F.greatest(F.col("start"), F.col("block") * size), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size)
-    pieces = pieces.select("src", "start", "block", (low - F.col("start")).alias("at"), (high - low).alias("n")).join(uses, ["src", "block"])
+    pieces = pieces.select("src", "start", "block", (low - F.col("start")).alias("at"), (high - low).alias("n")).join(uses.hint("merge"), ["src", "block"])
     of_doc = pieces.groupBy("src", "start").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"), F.sort_array(F.collect_list(F.struct("at", "n", "uses"))).alias("blocks"))
     out = rows.join(of_doc.withColumn("worded", F.lit(True)), (rows["src"] == of_doc["src"]) & (rows["start"] == of_doc["start"]) & (rows["size"] > 0), "left").drop(of_doc["src"]).drop(of_doc["start"])
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "blocks")
