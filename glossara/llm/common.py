@@ -52,3 +52,24 @@ def keep_rows(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFram
     """
     chosen = kept.select(F.col(key).alias("__kept")).distinct()
     return docs.join(chosen, F.col("__kept").eqNullSafe(docs[key]), "left_semi")
+
+
+#: Rows of a table that may be broadcast, of some hundred bytes each.
+LOOKUP_ROWS = 50_000
+SALTS = 32
+
+
+def lookup(rows: DataFrame, small: DataFrame, key: str, how: str = "inner", n: int | None = None, limit: int = LOOKUP_ROWS) -> DataFrame:
+    """rows joined to ``small`` (one row for each key), where one key may hold a large share of ``rows``.
+
+    Up to ``limit`` counted rows of ``small`` are broadcast, so ``rows`` stay where they are; more are repeated for each
+    of SALTS salts, and each key's rows are dealt to that many tasks.  Null matches null.
+    """
+    n = small.count() if n is None else n
+    other = small.withColumnRenamed(key, "__key")
+    match = F.col("__key").eqNullSafe(F.col(key))
+    if n <= limit:
+        return rows.join(F.broadcast(other), match, how).drop("__key")
+    salted = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = rows.withColumn("__own", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(SALTS)).cast("int"))
+    return own.join(salted, match & (F.col("__salt") == F.col("__own")), how).drop("__key", "__salt", "__own")

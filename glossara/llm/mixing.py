@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE_PATTERN, buckets_for, cut, n_words
+from .common import SPACE_PATTERN, buckets_for, cut, lookup, n_words
 
 CHUNK = 65_536
 
@@ -95,11 +95,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, s
     # not to broadcast it
     uses = slots.select("src", place.alias("block")).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
 
-    # one row for each source; whether it is broadcast is left to its size
+    # one row for each source
     named = spark.createDataFrame([(k, r["source"], sizes[k], goal[k]) for k, r in enumerate(sums)], "src int, source string, source_size long, target double")
     n_buckets = buckets_for(sum(int(r["n"]) for r in sums))
-    rows = rows.join(named.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "source")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n_buckets)))
+    rows = lookup(rows, named, "source", n=len(sums)).drop("source")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "size"), F.lit(n_buckets)))  # also deals out rows without an id
     upto = Window.partitionBy("src", "bucket").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = cut(rows.withColumn("inner", F.coalesce(F.sum("size").over(upto), F.lit(0))))
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

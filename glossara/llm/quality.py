@@ -22,7 +22,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE_PATTERN, cut
+from .common import SPACE_PATTERN, cut, lookup
 
 SYMBOLS = "[#*$%&|<>]"
 #: Scale added to the scatter of each statistic: log words, log word length, log symbols, log repeated lines, repeated words.
@@ -136,10 +136,10 @@ def _estimate(sums: DataFrame, factor: float, floors: tuple[float, ...]) -> Data
     return _factor(scatter, floors)
 
 
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """rows with the squared Mahalanobis distance d2 by forward substitution."""
+def _distance(rows: DataFrame, estimate: DataFrame, n: int | None = None) -> DataFrame:
+    """rows with the squared Mahalanobis distance d2 by forward substitution.  n: number of estimates, if known."""
     own = rows.columns
-    made = rows.join(estimate, "grp", "left")
+    made = lookup(rows, estimate, "grp", "left", n)
     for i in range(DIMS):
         value = F.col(_q(i)) / 1000 - F.col(f"m{i}")
         for k in range(i):
@@ -157,16 +157,17 @@ def fit(rows: DataFrame, support: float = 0.75, steps: int = 4, floors: tuple[fl
         *[(F.pow((F.get(f"p{i}", F.lit(2)) - F.get(f"p{i}", F.lit(0))) / 1349, F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _PAIRS],
     )
     estimate = cut(_factor(start, floors).coalesce(8))
+    n = estimate.count()
     consistent = support / chi2_cdf(chi2_quantile(support, DIMS), DIMS + 2)
     up_to, whole = Window.partitionBy("grp").orderBy("step"), Window.partitionBy("grp")
     for _ in range(steps):
-        ranked = _distance(rows, estimate).withColumn("step", F.floor(64 * F.log1p("d2")).cast("int"))
+        ranked = _distance(rows, estimate, n).withColumn("step", F.floor(64 * F.log1p("d2")).cast("int"))
         steps_ = _moments(ranked, "grp", "step").withColumn("upto", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(whole))
         subset = steps_.where(F.col("upto") - F.col("n") < support * F.col("all")).groupBy("grp").agg(*_sums())
         # a row for each group, written after each step: one plan of all steps would be very large
         estimate = cut(_estimate(subset, consistent, floors).coalesce(8))
     inner = 0.975
-    kept = _distance(rows, estimate).where(F.col("d2") <= chi2_quantile(inner, DIMS))
+    kept = _distance(rows, estimate, n).where(F.col("d2") <= chi2_quantile(inner, DIMS))
     return cut(_estimate(_moments(kept, "grp"), inner / chi2_cdf(chi2_quantile(inner, DIMS), DIMS + 2), floors).coalesce(8))
 
 
@@ -181,7 +182,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by:
     sizes = rows.where("not base_failed").groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("n1"))
     rest = F.sum(F.when(F.col("n1") < min_group, F.col("n1"))).over(Window.partitionBy("g0"))
     names = sizes.withColumn("n0", rest).select("g1", F.when(F.col("n1") >= min_group, F.col("g1")).when(F.col("n0") >= min_group, F.col("g0")).otherwise(F.lit("")).alias("grp"))
-    named = rows.join(names, "g1", "left")
+    named = lookup(rows, cut(names.coalesce(8)), "g1", "left")
     estimate = fit(named.where("not base_failed").select("grp", *[_q(i) for i in range(DIMS)]), support)
     judged = _distance(named, estimate)
     return judged.select(
