@@ -56,7 +56,7 @@ def joint_best_fit(sizes: list[int], lengths: list[int], price=cost) -> tuple[li
     return min(plans, key=lambda p: sum(map(price, p[1])))
 
 
-def pack(docs: DataFrame, lengths: tuple[int, ...] = (512, 1024, 2048, 4096), id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, per_bucket: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, lengths: tuple[int, ...] = (512, 1024, 2048, 4096), id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, per_bucket: int = 5_000) -> DataFrame:
     """One row for each piece: id, piece, start (first token in the document), n_tokens, sequence, position, seq_length, seq_tokens."""
     sizes_ = sorted(set(lengths))
     longest = sizes_[-1]

@@ -43,7 +43,7 @@ def place(vectors: np.ndarray, residual: np.ndarray, capacity: np.ndarray, turn:
     return (chosen + turn % n) % n
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 20_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 5_000) -> DataFrame:
     """One row for each input row: id, size (bytes + 1), tokens, text_crc32, shard, slot (gapless from 0 in each shard)."""
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = cut(
