@@ -2,7 +2,7 @@
 
 The label columns are predicted one after the other; each later model also gets the probabilities of all earlier
 categories, which in training are out-of-fold predictions, so that it learns from probabilities as good as those it will
-see.  Models are logistic regressions over the presence of selected words and a few text statistics.
+see.  Models are logistic regressions over the presence of selected words and word beginnings and a few text statistics.
 
 Training uses at most ``sample_rows`` labelled documents (those of smallest hash); the vocabulary of each category is
 the ``vocabulary`` words whose document counts there depart most from independence (chi-squared of ``least_chi2`` or
@@ -28,8 +28,10 @@ STATS = 3
 
 
 def words_of(text: str | None) -> list[str]:
-    """Distinct lower-cased words without punctuation at their ends, in order."""
-    return sorted({w.strip(STRIP) for w in set((text or "").lower().split())} - {""})
+    """Distinct lower-cased words without punctuation at their ends, and the beginnings of longer words (as "abcd*"), in order."""
+    words = {w.strip(STRIP) for w in set((text or "").lower().split())} - {""}
+    stems = {w[:k] + "*" for w in words if len(w) > 5 for k in (4, 5)}
+    return sorted(words | stems)
 
 
 def stats_of(text: str | None) -> list[float]:
