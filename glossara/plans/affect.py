@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import CATEGORIES, DOMAIN_CONTEXTS, EMOTIONAL_COLORS, LABELS, categories
+from ..catalog import CATEGORIES, DOMAIN_CONTEXTS, LABELS, categories
 from ..functions import emotion as E
 from ..operators import classify as C, graph, stats
 from ..operators.store import related_weighted
@@ -163,7 +163,7 @@ query("e31_process_term", f"{_BASE}, c AS (SELECT id, confidence, valence * 0.7:
     lambda v: _base(v).select("id", E.apply_context(F.col("m"), E.literal(DOMAIN_CONTEXTS["academic"])).alias("m"), "confidence").select("id", _R(E.at(F.col("m"), "valence")).alias("valence"), _R(E.at(F.col("m"), "arousal")).alias("arousal"), _R(F.col("confidence") * 0.7 + 0.8 * 0.3).alias("confidence"), F.size(F.filter(E.meta_emotions(F.col("m")), lambda x: x["label"] != "awareness_of_emotional_complexity")).alias("metas"))
 )
 query("a20_context_dominance", "SELECT name, round(least(1, count(*) / 10 * avg(abs(x)) * 2), 6) + 0 AS dominance FROM (VALUES " + ", ".join(f"('{n}', {x}::DOUBLE)" for n, f in DOMAIN_CONTEXTS.items() for x in f.values()) + ") t(name, x) GROUP BY 1")(lambda v: v.spark.createDataFrame([(n, f) for n, f in DOMAIN_CONTEXTS.items()], "name string, f map<string,double>").select("name", _R(E.context_dominance(F.col("f"))).alias("dominance")))
-query("a21_dominant_emotion", f"{_BASE} SELECT p.id, arg_max(e.v, abs(e.a)) AS other FROM base p JOIN (SELECT a AS id, b AS v, arousal AS a FROM adj JOIN base ON base.id = b) e USING (id) GROUP BY 1 HAVING count(*) FILTER (true) > 0".replace("arg_max(e.v, abs(e.a))", "arg_max(e.v, (abs(e.a), -e.v))"))(lambda v: graph.adjacency(v.edges).join(_base(v).select(F.col("id").alias("b"), E.at(F.col("m"), "arousal").alias("x")), "b").groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct(F.abs("x"), -F.col("b"))).alias("other")))
+query("a21_dominant_emotion", f"{_BASE} SELECT p.id, arg_max(e.v, (abs(e.a), -e.v)) AS other FROM base p JOIN (SELECT a AS id, b AS v, arousal AS a FROM adj JOIN base ON base.id = b) e USING (id) GROUP BY 1")(lambda v: graph.adjacency(v.edges).join(_base(v).select(F.col("id").alias("b"), E.at(F.col("m"), "arousal").alias("x")), "b").groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct(F.abs("x"), -F.col("b"))).alias("other")))
 query("e37_valid_ranges", "SELECT id, valence BETWEEN -0.2 AND 0.2 AS ok FROM emotions")(lambda v: v.emotions.select("id", F.col("valence").between(-0.2, 0.2).alias("ok")))
 query("e39_register_context", "SELECT 'mix' AS name, d AS dim, x::DOUBLE AS x FROM (VALUES ('valence', 0.9), ('arousal', -0.4), ('dominance', 0.3), ('certainty', 0.7), ('social', -0.2)) t(d, x)")(lambda v: v.spark.createDataFrame([("mix", DOMAIN_CONTEXTS["academic"] | {"valence": 0.9})], "name string, f map<string,double>").select("name", F.explode("f").alias("dim", "x")))
 query("e42_default_concept", "SELECT id, CASE WHEN id % 10 = 0 THEN 0 ELSE round(valence, 6) END AS valence, CASE WHEN id % 10 = 0 THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM emotions")(lambda v: v.emotions.withColumn("t", F.when(F.col("id") % 10 != 0, F.col("term")).otherwise("")).select("id", F.when(F.col("t") == "", 0.0).otherwise(_R("valence")).alias("valence"), F.when(F.col("t") == "", 0.5).otherwise(0.7).alias("confidence")))
@@ -234,5 +234,3 @@ def _(v):
     e = C.text_emotion(F.col("term"))
     return v.words.select(F.col("id").alias("word_id"), *[_R(e[k]).alias(k) for k in ("valence", "arousal")])
 
-
-_ = EMOTIONAL_COLORS

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..catalog import AFFECTIVE_COLORS, BASE_COLORS, EMOTIONAL_COLORS
 from ..operators import graph, stats
@@ -42,7 +42,7 @@ def _(v):
     return graph.update(old, graph.decorate(v.resolved.where("src_id % 10 = 0"), v.types, legacy=True)).select("u", "v", "relationship", "weight")
 
 
-@query("g03_add_node", """WITH fresh AS (SELECT DISTINCT lower(trim(item)) AS k FROM queue WHERE seq % 50 = 0) SELECT (SELECT max(id) FROM words) + row_number() OVER (ORDER BY k) AS id, k AS term FROM fresh WHERE k NOT IN (SELECT lower(term) FROM words)""".replace("WITH fresh", ", fresh", 1))
+@query("g03_add_node", """, fresh AS (SELECT DISTINCT lower(trim(item)) AS k FROM queue WHERE seq % 50 = 0) SELECT (SELECT max(id) FROM words) + row_number() OVER (ORDER BY k) AS id, k AS term FROM fresh WHERE k NOT IN (SELECT lower(term) FROM words)""")
 def _(v):
     from ..operators.store import add_terms
 

@@ -5,16 +5,15 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .. import extensions
 from ..catalog import RELATIONSHIP_TYPES
 from ..config import Settings
 from ..functions import emotion as E
-from ..functions.text import regex_terms, term_text
-from ..operators import clusters, graph, store, vectors, work
+from ..operators import clusters, graph, store, vectors
 from ..sources import lexicons, sinks
-from .affect import _WIDE, _states, _wide
+from .affect import _WIDE, _wide
 from .registry import query
 
 _R = lambda c: F.round(c, 6) + 0.0
@@ -147,12 +146,11 @@ query("q13_emotion_cycle", "SELECT e.id, round(e.valence, 6) AS valence FROM emo
 query("q14_schedule", "SELECT seq, value * 1000 >= 3600 AS maintenance, value * 1000 >= 86400 AS backup, value * 1000 >= 43200 AS optimise FROM queue")(lambda v: v.queue.select("seq", *[(F.col("value") * 1000 >= s).alias(n) for n, s in (("maintenance", 3600), ("backup", 86400), ("optimise", 43200))]))
 query("q19_response_stages", "SELECT id, 'note:' || speaker AS reflex, CASE WHEN length(text) > 500 THEN 'long' ELSE 'short' END AS route, '[Voice v1]: ' || speaker AS reply FROM messages")(lambda v: extensions.staged(v.messages, [lambda d: d.withColumn("reflex", F.concat(F.lit("note:"), "speaker")), lambda d: d.withColumn("route", F.when(F.length("text") > 500, "long").otherwise("short")), lambda d: d.withColumn("reply", F.concat(F.lit("[Voice v1]: "), "speaker"))]).select("id", "reflex", "route", "reply"))
 query("q21_operation_queue", "SELECT user_id, string_agg(event_type, ',' ORDER BY seq) AS operations FROM queue WHERE user_id < 10 GROUP BY 1")(lambda v: v.queue.where("user_id < 10").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "event_type"))), lambda x: x["event_type"]), ",").alias("operations")))
-query("q22_error_log", "SELECT seq, 'ERROR' AS state, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY seq) >= 10 THEN 'RECOVERY' ELSE 'RUNNING' END AS next_state FROM queue WHERE event_type = 'error'")(lambda v: work_errors(v))
+_ERRORS = "SELECT seq, 'ERROR' AS state, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY seq) >= 10 THEN 'RECOVERY' ELSE 'RUNNING' END AS next_state FROM queue WHERE event_type = 'error'"
 
 
-def work_errors(v):
-    from pyspark.sql import Window
-
+@query("q22_error_log", _ERRORS)
+def _(v):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("seq"))
     return v.queue.where("event_type = 'error'").select("seq", F.lit("ERROR").alias("state"), F.when(n >= 10, "RECOVERY").otherwise("RUNNING").alias("next_state"))
 
@@ -179,4 +177,3 @@ def _(v):
 query("p08_sql", "SELECT relationship_type, count(*) AS n FROM relationships GROUP BY 1 HAVING count(*) > 10")(lambda v: store.sql(v.spark, "SELECT relationship_type, count(*) AS n FROM relationships GROUP BY 1 HAVING count(*) > :least", {"least": 10}, relationships=v.relationships))
 query("p12_mock_affect", "SELECT m.id, round((m.id % 11 - 5) / 10, 6) + 0 AS valence FROM messages m")(lambda v: v.messages.select("id", _R((F.col("id") % 11 - 5) / 10).alias("valence")))
 query("f20_types_known", "SELECT type FROM types")(lambda v: v.spark.createDataFrame([(t[0],) for t in RELATIONSHIP_TYPES], "type string"))
-_ = (term_text, regex_terms, work, _states)

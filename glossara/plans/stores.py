@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..catalog import categories
 from ..functions.text import examples
-from ..operators import lexical, stats, store
-from ..operators.graph import properties
+from ..operators import lexical, store
+from ..sources import lexicons
 from .registry import query
 
 query("s01_scan_words", "SELECT id, term, coalesce(definition, '') AS definition, coalesce(usage_examples, '') AS usage_examples FROM words")(lambda v: store.all_words(v.words))
@@ -85,8 +86,7 @@ def _(v):
 
 
 query("s17_keyword_registry", ", k AS (SELECT event_type AS label, lower(trim(item)) AS keyword FROM queue UNION ALL SELECT 'fear', concat('w', user_id % 5) FROM queue) SELECT label, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords FROM k WHERE label IN ('happiness','sadness','anger','fear','surprise','disgust','neutral') GROUP BY 1")(
-    lambda v: (lambda rows: __import__("glossara.sources.lexicons", fromlist=["x"]).keyword_registry(rows, __import__("glossara.catalog", fromlist=["x"]).categories(v.spark)).select("label", F.array_join("keywords", ",").alias("keywords")))(
-        v.queue.select(F.col("event_type").alias("label"), F.lower(F.trim("item")).alias("keyword")).union(v.queue.select(F.lit("fear"), F.concat(F.lit("w"), F.col("user_id") % 5))))
+    lambda v: lexicons.keyword_registry(v.queue.select(F.col("event_type").alias("label"), F.lower(F.trim("item")).alias("keyword")).union(v.queue.select(F.lit("fear"), F.concat(F.lit("w"), F.col("user_id") % 5))), categories(v.spark)).select("label", F.array_join("keywords", ",").alias("keywords"))
 )
 query("s21_part_of_speech", f"{_SYN} SELECT term AS word, coalesce((SELECT arg_min(part_of_speech, ord) FROM synsets s WHERE s.word = w.term), '') AS part_of_speech FROM words w")(lambda v: lexical.part_of_speech(v.words.select(F.col("term").alias("word")), _synsets(v)))
 
@@ -134,4 +134,3 @@ query("q18_discovery", ", rel AS (SELECT s.term AS word, lower(trim(related_term
 )
 query("k26_demo_crud", "SELECT id, term, CASE WHEN id % 2 = 0 THEN 'updated ' || term ELSE coalesce(definition, '') END AS definition, 'en' AS language FROM words WHERE id % 100 = 0")(lambda v: v.words.where("id % 100 = 0").select("id", "term", F.when(F.col("id") % 2 == 0, F.concat(F.lit("updated "), "term")).otherwise(F.coalesce("definition", F.lit(""))).alias("definition"), F.lit("en").alias("language")))
 query("p07_result_values", "SELECT id, coalesce(definition, 'Not Found') AS value, CASE WHEN definition IS NULL THEN 'NOT_FOUND' END AS error FROM words")(lambda v: v.words.select("id", F.struct(F.col("definition").alias("value"), F.when(F.col("definition").isNull(), F.lit("NOT_FOUND")).alias("error")).alias("r")).select("id", F.coalesce("r.value", F.lit("Not Found")).alias("value"), "r.error"))
-_ = (properties, stats)

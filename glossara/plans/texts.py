@@ -22,7 +22,8 @@ def _long(v):
 
 
 query("x01_regex_terms", f"SELECT doc_id, unnest({_TERMS.format(t='text')}) AS term FROM documents")(_long)
-query("x01_definition_terms", f"SELECT id, array_to_string(list_sort({_TERMS.format(t=_q)}), ',') AS terms FROM words" if (_q := "concat('DEFINITION: ', coalesce(definition, ''), ' EXAMPLES: ', usage_examples)") else None)(lambda v: v.words.select("id", F.array_join(F.array_sort(X.regex_terms(X.term_text(F.col("definition"), F.array("usage_examples")))), ",").alias("terms")))
+_DEFINED = "concat('DEFINITION: ', coalesce(definition, ''), ' EXAMPLES: ', usage_examples)"
+query("x01_definition_terms", f"SELECT id, array_to_string(list_sort({_TERMS.format(t=_DEFINED)}), ',') AS terms FROM words")(lambda v: v.words.select("id", F.array_join(F.array_sort(X.regex_terms(X.term_text(F.col("definition"), F.array("usage_examples")))), ",").alias("terms")))
 query("x02_filter_terms", f"SELECT doc_id, t AS term FROM (SELECT doc_id, source, unnest({_TERMS.format(t='text')}) AS t FROM documents) WHERE t NOT IN ({_COMMON}) AND t <> source")(lambda v: _docs(v).select("doc_id", F.explode(X.filter_terms(X.regex_terms(F.col("text")), F.col("source"))).alias("term")))
 query("x03_term_score", "SELECT id, length(term) + 3 * (length(term) - length(replace(term, ' ', ''))) + length(regexp_replace(term, '[aeiou]', '', 'g')) AS score FROM words")(lambda v: v.words.select("id", X.term_score(F.col("term")).alias("score")))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stats, store, vectors, work
+from ..operators import stats, vectors, work
+from ..sources import sinks
 from .registry import query
 
 _R = lambda c: F.round(c, 6)
@@ -47,13 +48,13 @@ query("w05_last_errors", "SELECT user_id, seq FROM (SELECT *, row_number() OVER
 query("w07_error_runs", ", i AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY seq) AS island FROM queue) SELECT user_id, max(n) AS longest FROM (SELECT user_id, island, count(*) AS n FROM i WHERE event_type = 'error' GROUP BY 1, 2) GROUP BY 1")(lambda v: work.error_runs(v.queue, "user_id", "seq", F.col("event_type") == "error"))
 query("w08_keep_first", "SELECT event_type, min(seq) AS seq FROM queue GROUP BY 1")(lambda v: v.queue.groupBy("event_type").agg(F.min("seq").alias("seq")))
 
-query("f14_conversation", "SELECT conversation_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY timestamp, id) AS content FROM messages WHERE conversation_id < 20 GROUP BY 1")(lambda v: __import__("glossara.sources.sinks", fromlist=["x"]).conversation_export(v.messages.where("conversation_id < 20"), "text"))
+query("f14_conversation", "SELECT conversation_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY timestamp, id) AS content FROM messages WHERE conversation_id < 20 GROUP BY 1")(lambda v: sinks.conversation_export(v.messages.where("conversation_id < 20"), "text"))
 query("j08_conversation_messages", "SELECT conversation_id AS id, min(timestamp) AS created_at, max(timestamp) AS updated_at, count(*) AS messages FROM messages GROUP BY 1")(lambda v: work.conversations(v.messages))
 query("j09_message_emotion", "SELECT m.id, CASE WHEN m.id % 2 = 0 THEN 'neutral' END AS label FROM messages m")(lambda v: v.messages.select("id").join(v.messages.where("id % 2 = 0").select("id", F.lit("neutral").alias("label")), "id", "left"))
 query("k06_end_conversation", "SELECT conversation_id AS id, CASE WHEN conversation_id % 3 = 0 THEN 'COMPLETED' ELSE 'ACTIVE' END AS status, greatest(max(timestamp), CASE WHEN conversation_id % 3 = 0 THEN 99::DOUBLE END) AS updated_at FROM messages GROUP BY 1")(lambda v: work.ended(work.conversations(v.messages), v.messages.where("conversation_id % 3 = 0").select(F.col("conversation_id").alias("id"), F.lit(99.0).alias("at"))).select("id", "status", "updated_at"))
 query("k07_add_message", "SELECT conversation_id AS id, max(timestamp) + 1 AS updated_at, count(*) + 1 AS messages FROM messages GROUP BY 1")(lambda v: work.conversations(v.messages.unionByName(v.messages.groupBy("conversation_id").agg(F.max("timestamp").alias("t")).select((F.col("conversation_id") * 1000 + 999).alias("id"), "conversation_id", F.lit("user").alias("speaker"), F.lit("more").alias("text"), (F.col("t") + 1).alias("timestamp")))).select("id", "updated_at", "messages"))
 query("k24_assistant_message", "SELECT conversation_id, count(*) FILTER (speaker = 'assistant') + 1 AS n FROM messages GROUP BY 1")(lambda v: v.messages.select("conversation_id", "speaker").union(v.messages.select("conversation_id").distinct().withColumn("speaker", F.lit("assistant"))).groupBy("conversation_id").agg(F.count_if(F.col("speaker") == "assistant").alias("n")))
-query("k21_conversation_markdown", "SELECT conversation_id, string_agg('**' || speaker || ':** ' || text, chr(10) || chr(10) ORDER BY timestamp, id) AS content FROM messages GROUP BY 1")(lambda v: __import__("glossara.sources.sinks", fromlist=["x"]).conversation_export(v.messages, "markdown"))
+query("k21_conversation_markdown", "SELECT conversation_id, string_agg('**' || speaker || ':** ' || text, chr(10) || chr(10) ORDER BY timestamp, id) AS content FROM messages GROUP BY 1")(lambda v: sinks.conversation_export(v.messages, "markdown"))
 query("f17_metadata_predicates", "SELECT user_id, NOT list_contains(list(DISTINCT event_type), 'error') AS missing_error FROM queue GROUP BY 1")(lambda v: v.queue.groupBy("user_id").agg(F.collect_set("event_type").alias("s")).select("user_id", (F.size(F.array_except(F.array(F.lit("error")), "s")) > 0).alias("missing_error")))
 query("f18_status_labels", "SELECT event_type, CASE event_type WHEN 'view' THEN 'ACTIVE' WHEN 'click' THEN 'PENDING' WHEN 'purchase' THEN 'COMPLETED' END AS status FROM (SELECT DISTINCT event_type FROM queue)")(lambda v: v.queue.select("event_type").distinct().select("event_type", F.try_element_at(F.create_map(*[F.lit(x) for x in ("view", "ACTIVE", "click", "PENDING", "purchase", "COMPLETED")]), "event_type").alias("status")))
 query("f19_retention", "SELECT seq, CASE WHEN value > 90 THEN 'delete' WHEN value > 30 THEN 'archive' ELSE 'keep' END AS policy FROM queue")(lambda v: v.queue.select("seq", F.when(F.col("value") > 90, "delete").when(F.col("value") > 30, "archive").otherwise("keep").alias("policy")))
@@ -83,4 +84,3 @@ query("t05_topk_capped", f"{_Q} SELECT vec_id FROM vectors, q ORDER BY {_METRICS
 query("k08_vector_upsert", "SELECT vec_id, label FROM vectors WHERE vec_id >= 50 UNION ALL SELECT vec_id, 9 FROM vectors WHERE vec_id < 50")(lambda v: (lambda items: vectors.upsert(items, items.where("id < 50").withColumn("label", F.lit(9)), 64).select(F.col("id").alias("vec_id"), "label"))(v.vectors.withColumnRenamed("vec_id", "id")))
 query("k09_vector_delete", "SELECT concat('w_', id) AS id FROM words WHERE id <> 5")(lambda v: vectors.delete(vectors.items(v.words), 5).where("content_type = 'word'").select("id"))
 query("v02_hashed_embedding")(lambda v: v.words.select("id", vectors.hashed_embedding(F.col("term")).alias("embedding")))
-_ = store
