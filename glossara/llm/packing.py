@@ -69,7 +69,7 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = (512, 1024, 2048, 4096), id
         F.pmod(F.xxhash64("id", "n", F.when(F.col("n") >= longest, F.col("piece"))), F.lit(n_buckets)).cast("int").alias("bucket"),
     )
 
-    def of_bucket(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_bucket(key, pdf):
         pdf = pdf.sort_values(["n_tokens", "id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         n = pdf["n_tokens"].to_numpy()
         live = int((n > 0).sum())

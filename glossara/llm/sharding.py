@@ -83,7 +83,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     )
     free = residual.copy()
 
-    def of_bucket(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_bucket(key, pdf):
         pdf = pdf.sort_values(["digest", "id", "size"], kind="stable").reset_index(drop=True)
         spot = pdf["given"].to_numpy("float64", na_value=np.nan)
         loose = np.isnan(spot)
