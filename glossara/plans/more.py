@@ -92,7 +92,7 @@ query("j14_positional_zip", "SELECT id, string_agg(x || '=' || i, ',' ORDER BY i
 query("w06_ordered_states", f"{_WIDE} SELECT id, i - 1 AS place, round(valence * f::DOUBLE, 6) + 0 AS valence FROM w, (VALUES (1, 0.2), (2, 0.5), (3, 1.0)) t(i, f)")(lambda v: _wide(v).select("id", F.posexplode(F.slice(E.intensity_gradation(F.col("m"), F.lit(0.7)), 1, 3)).alias("place", "s")).select("id", "place", _R(E.at(F.col("s.dims"), "valence")).alias("valence")))
 query("t07_batches", "SELECT word_id, id FROM relationships QUALIFY row_number() OVER (PARTITION BY word_id ORDER BY id) <= 5")(lambda v: v.relationships.groupBy("word_id").agg(F.slice(F.array_sort(F.collect_list("id")), 1, 5).alias("x")).select("word_id", F.explode("x").alias("id")))
 
-_LP = ", l0 AS (SELECT id, id AS label FROM nodes), near AS (SELECT a, b, weight FROM adj UNION ALL SELECT id, id, 1::DOUBLE FROM nodes)" + "".join(
+_LP = ", l0 AS (SELECT id, id AS label FROM nodes), near AS (SELECT a, b, weight FROM adj UNION ALL SELECT id, id, coalesce((SELECT max(weight) FROM adj WHERE a = id), 1::DOUBLE) FROM nodes)" + "".join(
     f", v{k} AS (SELECT a, label, round(sum(weight), 6) AS w FROM near JOIN l{k - 1} ON id = b GROUP BY 1, 2), l{k} AS (SELECT a AS id, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, label) = 1)" for k in range(1, 4)
 )
 query("g11_label_clusters", f"{_LP} SELECT id, label FROM l3")(lambda v: clusters.label_propagation(v.nodes, v.edges, 3))
