@@ -35,8 +35,7 @@ def op3_token_planes(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(TOKENIZER)
-    read = token_planes(table(spark, sf_dir, "documents"), str(tokenizer))
-    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_planes(table(spark, sf_dir, "documents"), str(tokenizer), digest=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ def planes(ids: np.ndarray, mode: str) -> list[bytes]:
     """Bit (32) or byte (4) planes of unsigned 32-bit ids."""
     raw = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)
     if mode == "byte":
-        return [raw[:, p].tobytes() for p in range(4)]
+        top = int(ids.max()) if len(ids) else 0
+        return [raw[:, p].tobytes() if top >> 8 * p else bytes(len(ids)) for p in range(4)]
     bits = np.unpackbits(raw, axis=1, bitorder="little")
     return [np.packbits(bits[:, p], bitorder="little").tobytes() for p in range(32)]
 
@@ -146,7 +147,7 @@ class Encoder:
     many at a time, as one text, and told apart by their bytes.
     """
 
-    PIECES = re.compile(f" ?[{_L}]+(?![^\\W\\d_])| ?(?:[^{_S}{_L}]+(?:(?<=[^\\W\\d_])[{_L}]+|(?<=')[{_L}]+)?)+| ?[^{_S}]+|[{_S}]+(?=[{_S}][^{_S}])|[{_S}]+")
+    PIECES = re.compile(f" ?[{_L}]++(?![^\\W\\d_])| ?(?:[^{_S}{_L}]+(?:(?<=[^\\W\\d_])[{_L}]+|(?<=')[{_L}]+)?)+| ?[^{_S}]+|[{_S}]+(?=[{_S}][^{_S}])|[{_S}]+")
 
     def __init__(self, path: str, remember: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -265,8 +266,11 @@ def write_planes(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
     return sorted(ranges.mapInArrow(write, "part int, path string, n_docs long, n_ids long").collect())
 
 
-def read_planes(spark, manifest: list, id_col: str = "doc_id") -> DataFrame:
-    """One row for each document of the files: id, start (ids of all documents before it), n_tokens, ids (binary)."""
+def read_planes(spark, manifest: list, id_col: str = "doc_id", digest: bool = False) -> DataFrame:
+    """One row for each document of the files: id, start (ids of all documents before it), n_tokens, ids (binary).
+
+    digest: the unsigned crc32 of the ids, as ids_crc32, instead of the ids.
+    """
     start, files = 0, []
     for m in manifest:
         files.append((m["path"], start))
@@ -279,34 +283,30 @@ def read_planes(spark, manifest: list, id_col: str = "doc_id") -> DataFrame:
                 with store.open_input_file(name) as source:
                     held, size = [], 0
                     for doc, ids in read(source):
-                        held.append((doc, at, len(ids) // 4, ids))
+                        held.append((doc, at, len(ids) // 4, zlib.crc32(ids) if digest else ids))
                         at += len(ids) // 4
                         size += len(ids)
                         if size > 8 << 20:
-                            yield _batch(held)
+                            yield _batch(held, digest)
                             held, size = [], 0
                     if held:
-                        yield _batch(held)
+                        yield _batch(held, digest)
 
-    schema = f"{id_col} long, start long, n_tokens long, ids binary"
+    schema = f"{id_col} long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary")
     if not files:
         return spark.createDataFrame([], schema)
     table = spark.createDataFrame(files, "path string, start long").repartition(len(files), "path")
     return table.mapInArrow(rows, schema.replace(id_col, "id", 1)).withColumnRenamed("id", id_col)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "start", "n_tokens", "ids"])
+def _batch(rows: list[tuple], digest: bool) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
 
-def token_planes(docs: DataFrame, tokenizer: str, folder: str | None = None, **options) -> DataFrame:
+def token_planes(docs: DataFrame, tokenizer: str, folder: str | None = None, digest: bool = False, **options) -> DataFrame:
     """Writes the files (to a new folder in the shared one, unless given) and reads them back."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/token-planes-{uuid.uuid4().hex}"
     manifest = write_planes(docs, tokenizer, folder, **options)
-    return read_planes(spark, manifest, options.get("id_col", "doc_id"))
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
+    return read_planes(spark, manifest, options.get("id_col", "doc_id"), digest)
