@@ -88,7 +88,9 @@ def scalar(df: DataFrame):
 
 
 def retention(backups: DataFrame, keep: int = 10) -> DataFrame:
-    return backups.withColumn("kept", F.row_number().over(Window.orderBy(F.desc("mtime"), "path")) <= keep)
+    """backups(path, mtime) with whether each is among the newest; paths are unique."""
+    newest = backups.orderBy(F.desc("mtime"), "path").limit(keep).select("path", F.lit(True).alias("kept"))
+    return backups.join(F.broadcast(newest), "path", "left").fillna(False, ["kept"])  # ``keep`` rows
 
 
 def related_weighted(relationships: DataFrame, words: DataFrame, types: DataFrame | None, k: int = 15) -> DataFrame:

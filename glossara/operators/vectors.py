@@ -58,9 +58,15 @@ def search(vectors: DataFrame, vector: list[float], k: int = 10, metric: str = "
     return rows.select(id_col, (1 - d if flip else d).alias("distance")).orderBy("distance", id_col).limit(min(k, MAX_RESULTS))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with the value computed once for each row."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Deterministic stand-in for a model: signed counts of character trigrams, of unit length."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.xxhash64(F.lower(F.substr(text, i, F.lit(3)))))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(grams, lambda g: F.pmod(g, F.lit(dim)) == d), F.lit(0.0), lambda s, g: s + F.when(F.pmod(F.shiftright(g, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)))
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: (x / F.greatest(size, F.lit(1e-9))).cast("float"))
+    sign = lambda g: F.when(F.pmod(F.shiftright(g, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    counts = lambda gs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(gs, F.lit(0.0), lambda s, g: s + F.when(F.pmod(g, F.lit(dim)) == d, sign(g)).otherwise(0.0)))
+    norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x))
+    return _let(grams, lambda gs: _let(counts(gs), lambda r: _let(norm(r), lambda n: F.transform(r, lambda x: (x / F.greatest(n, F.lit(1e-9))).cast("float")))))

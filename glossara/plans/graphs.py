@@ -35,18 +35,18 @@ query("g01_build_graph", "SELECT u, v, relationship, weight, color, bidirectiona
 
 
 @query("g02_incremental_update", """SELECT least(src_id, dst_id) AS u, greatest(src_id, dst_id) AS v, relationship, weight FROM decorated d
-WHERE src_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src_id % 10 <> 0 AND e.u = least(d.src_id, d.dst_id) AND e.v = greatest(d.src_id, d.dst_id))
+WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src_id % 10 <> 0 AND e.u = least(d.src_id, d.dst_id) AND e.v = greatest(d.src_id, d.dst_id))
 QUALIFY row_number() OVER (PARTITION BY least(src_id, dst_id), greatest(src_id, dst_id) ORDER BY rel_id) = 1""")
 def _(v):
     old = v.edges.where("src_id % 10 <> 0")
-    return graph.update(old, graph.decorate(v.resolved.where("src_id % 10 = 0"), v.types, legacy=True)).select("u", "v", "relationship", "weight")
+    return graph.update(old, graph.decorate(v.resolved, v.types, legacy=True)).select("u", "v", "relationship", "weight")
 
 
-@query("g03_add_node", """, fresh AS (SELECT DISTINCT lower(trim(item)) AS k FROM queue WHERE seq % 50 = 0) SELECT (SELECT max(id) FROM words) + row_number() OVER (ORDER BY k) AS id, k AS term FROM fresh WHERE k NOT IN (SELECT lower(term) FROM words)""")
+@query("g03_add_node", """, fresh AS (SELECT DISTINCT lower(trim(item)) AS k FROM queue) SELECT (SELECT max(id) FROM words) + row_number() OVER (ORDER BY k) AS id, k AS term FROM fresh WHERE k NOT IN (SELECT lower(term) FROM words)""")
 def _(v):
     from ..operators.store import add_terms
 
-    return add_terms(v.nodes.select("id", "term"), v.queue.where("seq % 50 = 0").select(F.lower(F.trim("item")).alias("term")))
+    return add_terms(v.nodes.select("id", "term"), v.queue.select(F.lower(F.trim("item")).alias("term")))
 
 
 @query("g04_add_relationship", """SELECT u, v, coalesce(n.kind, relationship) AS relationship FROM (SELECT u, v, relationship FROM edges UNION ALL SELECT 0, 1, 'synonym' WHERE NOT EXISTS (SELECT 1 FROM edges WHERE u = 0 AND v = 1)) LEFT JOIN (VALUES (0, 1, 'synonym')) n(a, b, kind) ON u = a AND v = b""")

@@ -59,7 +59,7 @@ def _(v):
 @query("s18_media_files")
 def _(v):
     path = _folder(v)
-    v.queue.where("seq < 20").select("item").coalesce(1).write.text(path)
+    v.queue.select("item").write.text(path)
     files = lexicons.media_files(v.spark, path)
     return v.spark.createDataFrame([(files.count(),)], "media long")
 
@@ -101,13 +101,13 @@ query("t02_cluster_members", f"{_LP} SELECT label, string_agg(term, '|' ORDER BY
 
 @query("g11_louvain")
 def _(v):
-    found = clusters.louvain(v.edges.where("dimension = 'emotional' and weight > 0.6 and u % 4 = 0 and v % 4 = 0"))
+    found = clusters.louvain(v.edges.where("dimension = 'emotional'"))
     return v.spark.createDataFrame(sorted(found.items()) or [(0, 0)], "id long, community long")
 
 
 @query("g11l_betweenness")
 def _(v):
-    found = clusters.betweenness(v.edges.where("dimension = 'emotional' and weight > 0.6 and u % 16 = 0 and v % 16 = 0"))
+    found = clusters.betweenness(graph.induced(v.edges, graph.k_hop(v.edges, v.nodes.where("id = 0").select("id"), 1)))
     return v.spark.createDataFrame(sorted(found.items()) or [(0, 0.0)], "id long, score double")
 
 
@@ -134,7 +134,7 @@ def _(v):
 query("e35_random_emotion")(lambda v: v.words.select("id", (F.rand(7) * 2 - 1).alias("valence"), F.rand(8).alias("arousal")))
 query("e36_strategies", "SELECT id, CASE WHEN id % 3 = 0 THEN 'random' WHEN abs(valence) >= 0.1 THEN 'recursive' ELSE 'skip' END AS strategy FROM emotions")(lambda v: v.emotions.select("id", F.when(F.col("id") % 3 == 0, "random").when(F.abs("valence") >= 0.1, "recursive").otherwise("skip").alias("strategy")))
 query("e38_vocabulary_neighbours")(lambda v: vectors.search(v.words.select("id", vectors.hashed_embedding(F.col("term")).cast("array<double>").alias("embedding")), [1.0] + [0.0] * 63, 5, id_col="id"))
-query("v03_deterministic_embedder")(lambda v: v.words.where("id < 200").select("id", vectors.hashed_embedding(F.col("term"), 768).alias("embedding")))
+query("v03_deterministic_embedder")(lambda v: v.words.select("id", vectors.hashed_embedding(F.col("term"), 768).alias("embedding")))
 query("v08_reembed_pass", "SELECT concat('d_', id) AS item, 'SUCCESS' AS status FROM words WHERE definition IS NOT NULL UNION ALL SELECT concat('d_', id), 'EMBEDDING_ERROR' FROM words WHERE definition IS NULL")(lambda v: v.words.select(F.concat(F.lit("d_"), "id").alias("item"), F.when(F.col("definition").isNull(), "EMBEDDING_ERROR").when(F.size(vectors.hashed_embedding(F.coalesce("definition", F.lit("")))) == 64, "SUCCESS").otherwise("STORAGE_ERROR").alias("status")))
 query("v09_language_search", ", q AS (SELECT embedding AS e FROM vectors WHERE vec_id = 0), lang AS (SELECT *, CASE label % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'zh' ELSE 'fr' END AS language FROM vectors) SELECT vec_id, language FROM lang, q WHERE language = 'fr' ORDER BY list_distance(embedding, e), vec_id LIMIT 7")(lambda v: (lambda rows: vectors.search(rows, list(v.vectors.where("vec_id = 0").first()["embedding"]), 7, "euclidean", {"language": "fr"}).select("vec_id", F.lit("fr").alias("language")))(v.vectors.withColumn("language", F.element_at(F.array(F.lit("en"), F.lit("zh"), F.lit("fr")), (F.col("label") % 3 + 1).cast("int")))))
 query("v10_store_words", "SELECT 'word' AS content_type, count(*) AS n FROM words UNION ALL SELECT 'definition', count(*) FROM words WHERE coalesce(definition, '') <> ''")(lambda v: vectors.items(v.words).where("content_type <> 'example'").withColumn("embedding", vectors.hashed_embedding(F.col("text"))).where(F.size("embedding") == 64).groupBy("content_type").agg(F.count(F.lit(1)).alias("n")))
@@ -145,7 +145,7 @@ query("q12_graph_cycle", "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT
 query("q13_emotion_cycle", "SELECT e.id, round(e.valence, 6) AS valence FROM emotions e WHERE e.id NOT IN (SELECT word_id FROM word_emotion) ORDER BY e.id LIMIT 20")(lambda v: v.emotions.join(v.word_emotion.select(F.col("word_id").alias("id")), "id", "left_anti").select("id", _R("valence").alias("valence")).orderBy("id").limit(20))
 query("q14_schedule", "SELECT seq, value * 1000 >= 3600 AS maintenance, value * 1000 >= 86400 AS backup, value * 1000 >= 43200 AS optimise FROM queue")(lambda v: v.queue.select("seq", *[(F.col("value") * 1000 >= s).alias(n) for n, s in (("maintenance", 3600), ("backup", 86400), ("optimise", 43200))]))
 query("q19_response_stages", "SELECT id, 'note:' || speaker AS reflex, CASE WHEN length(text) > 500 THEN 'long' ELSE 'short' END AS route, '[Voice v1]: ' || speaker AS reply FROM messages")(lambda v: extensions.staged(v.messages, [lambda d: d.withColumn("reflex", F.concat(F.lit("note:"), "speaker")), lambda d: d.withColumn("route", F.when(F.length("text") > 500, "long").otherwise("short")), lambda d: d.withColumn("reply", F.concat(F.lit("[Voice v1]: "), "speaker"))]).select("id", "reflex", "route", "reply"))
-query("q21_operation_queue", "SELECT user_id, string_agg(event_type, ',' ORDER BY seq) AS operations FROM queue WHERE user_id < 10 GROUP BY 1")(lambda v: v.queue.where("user_id < 10").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "event_type"))), lambda x: x["event_type"]), ",").alias("operations")))
+query("q21_operation_queue", "SELECT user_id, string_agg(event_type, ',' ORDER BY seq) AS operations FROM queue GROUP BY 1")(lambda v: v.queue.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "event_type"))), lambda x: x["event_type"]), ",").alias("operations")))
 _ERRORS = "SELECT seq, 'ERROR' AS state, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY seq) >= 10 THEN 'RECOVERY' ELSE 'RUNNING' END AS next_state FROM queue WHERE event_type = 'error'"
 
 

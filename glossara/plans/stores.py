@@ -11,7 +11,7 @@ from ..sources import lexicons
 from .registry import query
 
 query("s01_scan_words", "SELECT id, term, coalesce(definition, '') AS definition, coalesce(usage_examples, '') AS usage_examples FROM words")(lambda v: store.all_words(v.words))
-query("s04_sql", "SELECT id, term FROM words WHERE term LIKE 'small%' AND id < 500")(lambda v: store.sql(v.spark, "SELECT id, term FROM words WHERE term LIKE :like AND id < :top", {"like": "small%", "top": 500}, words=v.words))
+query("s04_sql", "SELECT id, term FROM words WHERE term LIKE 'small%'")(lambda v: store.sql(v.spark, "SELECT id, term FROM words WHERE term LIKE :like", {"like": "small%"}, words=v.words))
 query("s05_scalar_sql", "SELECT count(*) AS n FROM words")(lambda v: store.sql(v.spark, "SELECT count(*) AS n FROM words", words=v.words))
 
 
@@ -40,12 +40,12 @@ query("s08_dictionary", f"{_ENTRIES} SELECT term AS word, coalesce(e.definition,
 
 def _lines(v):
     """Thesaurus lines: the parts of one order, in line order."""
-    rows = v.table("lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(v.words.select(F.col("id").alias("l_partkey"), "term"), "l_partkey")
+    rows = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(v.words.select(F.col("id").alias("l_partkey"), "term"), "l_partkey")
     return rows.groupBy(F.col("l_orderkey").alias("line")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "term"))), lambda x: x["term"]).alias("words"))
 
 
-_LINES = ", items AS (SELECT DISTINCT l_orderkey AS line, l_linenumber, l_partkey, term FROM lineitem JOIN words ON id = l_partkey WHERE l_orderkey % 4 = 0), placed AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY l_linenumber, l_partkey, term) - 1 AS pos FROM items)"
-query("s09_openthesaurus", f"{_LINES}, pairs_ AS (SELECT DISTINCT a.term AS word, b.term AS synonym, b.line, b.pos FROM placed a JOIN placed b ON a.line = b.line AND a.term <> b.term WHERE a.l_partkey % 10 = 0), firsts AS (SELECT word, synonym, min(struct_pack(line := line, pos := pos)) AS spot FROM pairs_ GROUP BY 1, 2) SELECT word, synonym, row_number() OVER (PARTITION BY word ORDER BY spot) - 1 AS place FROM firsts")(lambda v: lexical.openthesaurus(v.words.where("id % 10 = 0").select(F.col("term").alias("word")), _lines(v)))
+_LINES = ", items AS (SELECT DISTINCT l_orderkey AS line, l_linenumber, l_partkey, term FROM lineitem JOIN words ON id = l_partkey), placed AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY l_linenumber, l_partkey, term) - 1 AS pos FROM items)"
+query("s09_openthesaurus", f"{_LINES}, pairs_ AS (SELECT DISTINCT a.term AS word, b.term AS synonym, b.line, b.pos FROM placed a JOIN placed b ON a.line = b.line AND a.term <> b.term), firsts AS (SELECT word, synonym, min(struct_pack(line := line, pos := pos)) AS spot FROM pairs_ GROUP BY 1, 2) SELECT word, synonym, row_number() OVER (PARTITION BY word ORDER BY spot) - 1 AS place FROM firsts")(lambda v: lexical.openthesaurus(v.words.select(F.col("term").alias("word")), _lines(v)))
 query("s10_thesaurus", ", l AS (SELECT s.term AS word, r.related_term AS synonym FROM relationships r JOIN words s ON s.id = r.word_id WHERE lower(relationship_type) = 'synonym') SELECT word, synonym FROM l")(lambda v: lexical.thesaurus(v.words.select(F.col("term").alias("word")), v.relationships.where("lower(relationship_type) = 'synonym'").join(v.words.select(F.col("id").alias("word_id"), F.col("term").alias("word")), "word_id").groupBy("word").agg(F.collect_list("related_term").alias("synonyms"))))
 
 
@@ -66,19 +66,19 @@ query("s12_dbnary", "SELECT term AS word, coalesce(CASE WHEN id % 2 = 0 THEN def
 def _synsets(v):
     rows = v.resolved.join(v.words.select(F.col("id").alias("src_id"), F.col("term").alias("word")), "src_id")
     other = v.words.select(F.col("id").alias("dst_id"), F.col("term").alias("other"), F.col("definition").alias("definition"), "part_of_speech")
-    rows = rows.join(other, "dst_id").where("src_id % 10 = 0")
+    rows = rows.join(other, "dst_id")
     lemma = lambda c: F.array(F.replace(F.concat(F.lit("the_"), c), F.lit("_"), F.lit(" ")))
     none = F.array().cast("array<string>")
     return rows.select("word", F.col("rel_id").alias("ord"), "part_of_speech", F.coalesce("definition", F.lit("")).alias("definition"), F.when(F.lower("relationship_type") == "antonym", none).otherwise(lemma(F.col("other"))).alias("synonyms"), F.when(F.lower("relationship_type") == "antonym", lemma(F.col("other"))).otherwise(none).alias("antonyms"))
 
 
-_SYN = ", synsets AS (SELECT s.term AS word, rel_id AS ord, d.part_of_speech, coalesce(d.definition, '') AS definition, lower(relationship_type) = 'antonym' AS is_anti, 'the ' || d.term AS lemma FROM resolved JOIN words s ON s.id = src_id JOIN words d ON d.id = dst_id WHERE src_id % 10 = 0)"
+_SYN = ", synsets AS (SELECT s.term AS word, rel_id AS ord, d.part_of_speech, coalesce(d.definition, '') AS definition, lower(relationship_type) = 'antonym' AS is_anti, 'the ' || d.term AS lemma FROM resolved JOIN words s ON s.id = src_id JOIN words d ON d.id = dst_id)"
 query("s13_wordnet", f"{_SYN} SELECT word, ord, part_of_speech, definition, CASE WHEN is_anti THEN '' ELSE lemma END AS synonyms, CASE WHEN is_anti THEN lemma ELSE '' END AS antonyms FROM synsets")(lambda v: _synsets(v).select("word", "ord", "part_of_speech", "definition", F.array_join("synonyms", "|").alias("synonyms"), F.array_join("antonyms", "|").alias("antonyms")))
 
 
-@query("s14_dataset", f"{_ENTRIES}{_LINES}{_SYN} SELECT term AS word, coalesce(e.definition, 'Not Found') AS definition, (SELECT count(DISTINCT b.term) FROM placed a JOIN placed b ON a.line = b.line AND a.term <> b.term WHERE a.term = w.term) AS open_synonyms, (SELECT count(*) FROM synsets s WHERE s.word = w.term) AS senses FROM words w LEFT JOIN (SELECT * FROM entries WHERE definition IS NOT NULL AND examples IS NOT NULL) e ON e.word = w.term WHERE w.id % 20 = 0")
+@query("s14_dataset", f"{_ENTRIES}{_LINES}{_SYN} SELECT term AS word, coalesce(e.definition, 'Not Found') AS definition, (SELECT count(DISTINCT b.term) FROM placed a JOIN placed b ON a.line = b.line AND a.term <> b.term WHERE a.term = w.term) AS open_synonyms, (SELECT count(*) FROM synsets s WHERE s.word = w.term) AS senses FROM words w LEFT JOIN (SELECT * FROM entries WHERE definition IS NOT NULL AND examples IS NOT NULL) e ON e.word = w.term")
 def _(v):
-    w = v.words.where("id % 20 = 0").select(F.col("term").alias("word"))
+    w = v.words.select(F.col("term").alias("word"))
     lines = v.spark.createDataFrame([], "word string, synonyms array<string>")
     d = lexical.dataset(w, _entries(v), _entries(v), _lines(v), lines, _triples(v), _synsets(v).join(w, "word", "left_semi"))
     n = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
@@ -90,15 +90,15 @@ query("s17_keyword_registry", ", k AS (SELECT event_type AS label, lower(trim(it
 )
 query("s21_part_of_speech", f"{_SYN} SELECT term AS word, coalesce((SELECT arg_min(part_of_speech, ord) FROM synsets s WHERE s.word = w.term), '') AS part_of_speech FROM words w")(lambda v: lexical.part_of_speech(v.words.select(F.col("term").alias("word")), _synsets(v)))
 
-query("k01_upsert_words", ", new AS (SELECT CASE WHEN id % 2 = 0 THEN term ELSE 'new ' || id END AS term, 'd' || id AS definition, part_of_speech, usage_examples, last_refreshed + 10000 AS last_refreshed FROM words WHERE id % 9 = 0) SELECT coalesce(w.id, (SELECT max(id) FROM words) + row_number() OVER (PARTITION BY w.id IS NULL ORDER BY n.term)) AS id, coalesce(n.term, w.term) AS term, coalesce(n.definition, w.definition) AS definition FROM words w FULL JOIN new n ON n.term = w.term")(
-    lambda v: store.upsert_words(v.words, v.words.where("id % 9 = 0").select(F.when(F.col("id") % 2 == 0, F.col("term")).otherwise(F.concat(F.lit("new "), "id")).alias("term"), F.concat(F.lit("d"), "id").alias("definition"), "part_of_speech", "usage_examples", (F.col("last_refreshed") + 10000).alias("last_refreshed"))).select("id", "term", "definition")
+query("k01_upsert_words", ", new AS (SELECT CASE WHEN id % 2 = 0 THEN term ELSE 'new ' || id END AS term, 'd' || id AS definition, part_of_speech, usage_examples, last_refreshed + 10000 AS last_refreshed FROM words) SELECT coalesce(w.id, (SELECT max(id) FROM words) + row_number() OVER (PARTITION BY w.id IS NULL ORDER BY n.term)) AS id, coalesce(n.term, w.term) AS term, coalesce(n.definition, w.definition) AS definition FROM words w FULL JOIN new n ON n.term = w.term")(
+    lambda v: store.upsert_words(v.words, v.words.select(F.when(F.col("id") % 2 == 0, F.col("term")).otherwise(F.concat(F.lit("new "), "id")).alias("term"), F.concat(F.lit("d"), "id").alias("definition"), "part_of_speech", "usage_examples", (F.col("last_refreshed") + 10000).alias("last_refreshed"))).select("id", "term", "definition")
 )
 query("k02_insert_relationships", ", new AS (SELECT s.term AS base, d.term AS related_term, CASE WHEN q.seq % 3 = 0 THEN '' ELSE 'related' END AS kind, s.id AS word_id FROM queue q JOIN words s ON s.id = q.seq % 1000 JOIN words d ON d.id = (q.seq * 7) % 1000) SELECT DISTINCT word_id, related_term, kind AS relationship_type FROM new n WHERE kind <> '' AND base <> related_term AND NOT EXISTS (SELECT 1 FROM relationships r WHERE r.word_id = n.word_id AND r.related_term = n.related_term AND r.relationship_type = kind)")(
     lambda v: store.insert_relationships(v.relationships, v.words, v.queue.select((F.col("seq") % 1000).alias("a"), (F.col("seq") * 7 % 1000).alias("b"), F.when(F.col("seq") % 3 == 0, "").otherwise("related").alias("relationship_type")).join(v.words.select(F.col("id").alias("a"), F.col("term").alias("base")), "a").join(v.words.select(F.col("id").alias("b"), F.col("term").alias("related_term")), "b").select("base", "related_term", "relationship_type"))
 )
 query("k03_set_word_emotion", "SELECT user_id AS word_id, round(greatest(-1, least(1, arg_max(value, seq) / 50 - 1)), 6) AS valence FROM queue GROUP BY 1")(lambda v: store.latest(v.queue.select(F.col("user_id").alias("word_id"), "seq", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("value") / 50 - 1)).alias("valence")), "word_id", "seq").select("word_id", F.round("valence", 6).alias("valence")))
 query("k04_message_emotion", "SELECT user_id AS message_id, arg_max(event_type, seq) AS label, round(least(1, greatest(0, arg_max(value, seq) / 100)), 6) AS confidence FROM queue GROUP BY 1")(lambda v: store.latest(v.queue.select(F.col("user_id").alias("message_id"), "seq", F.col("event_type").alias("label"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100)).alias("confidence")), "message_id", "seq").select("message_id", "label", F.round("confidence", 6).alias("confidence")))
-query("k15_backup_retention", ", b AS (SELECT concat('db_', seq, '.backup') AS path, epoch_us(ts) AS mtime FROM queue WHERE seq % 400 = 0) SELECT path, row_number() OVER (ORDER BY mtime DESC, path) <= 10 AS kept FROM b")(lambda v: store.retention(v.queue.where("seq % 400 = 0").select(F.concat(F.lit("db_"), "seq", F.lit(".backup")).alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("mtime"))).select("path", "kept"))
+query("k15_backup_retention", ", b AS (SELECT concat('db_', seq, '.backup') AS path, epoch_us(ts) AS mtime FROM queue) SELECT path, row_number() OVER (ORDER BY mtime DESC, path) <= 10 AS kept FROM b")(lambda v: store.retention(v.queue.select(F.concat(F.lit("db_"), "seq", F.lit(".backup")).alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("mtime"))).select("path", "kept"))
 query("k18_integrity", "SELECT 'dangling' AS problem, count(*) AS n FROM relationships WHERE word_id NOT IN (SELECT id FROM words WHERE id % 11 <> 0) UNION ALL SELECT 'duplicate term', count(*) FROM (SELECT term FROM words WHERE id % 11 <> 0 GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'duplicate relationship', count(*) FROM (SELECT 1 FROM relationships GROUP BY word_id, related_term, relationship_type HAVING count(*) > 1)")(lambda v: store.integrity(v.words.where("id % 11 <> 0"), v.relationships))
 query("k25_auto_create", "SELECT (SELECT max(id) FROM words) + row_number() OVER (ORDER BY t) AS id, t AS term, concat('Auto-generated entry for ''', t, '''') AS definition FROM (SELECT DISTINCT trim(item) AS t FROM queue) WHERE t NOT IN (SELECT term FROM words)")(lambda v: store.add_terms(v.words.select("id", "term"), v.queue.select(F.trim("item").alias("term")), lower=False).withColumn("definition", F.concat(F.lit("Auto-generated entry for '"), "term", F.lit("'"))))
 
@@ -110,10 +110,10 @@ def _flat_entry(df):
     return df.select("id", "term", "definition", "language", F.array_join("usage_examples", "|").alias("usage_examples"), F.array_join(F.transform("relationships", lambda r: F.concat(r["related_term"], F.lit("/"), r["relationship_type"])), "|").alias("relationships"))
 
 
-query("f04_word_entry", _ENTRY_SQL + "w.id % 50 = 0")(lambda v: _flat_entry(store.entry(v.words, v.relationships, F.col("id") % 50 == 0)))
+query("f04_word_entry", _ENTRY_SQL + "true")(lambda v: _flat_entry(store.entry(v.words, v.relationships, F.lit(True))))
 query("f21_word_search", _ENTRY_SQL + "w.term = lower('SMALL RING 0')")(lambda v: _flat_entry(store.entry(v.words, v.relationships, F.col("term") == F.lower(F.lit("SMALL RING 0")))))
 query("f05_relationships_of_word", "SELECT related_term, relationship_type FROM relationships WHERE word_id = 7")(lambda v: v.relationships.where("word_id = 7").select("related_term", "relationship_type"))
-query("f13_emotion_lookup", "SELECT word_id, round(valence, 6) AS valence, round(arousal, 6) AS arousal, 0.0::DOUBLE AS dominance FROM word_emotion WHERE word_id IN (1, 2, 3, 4)")(lambda v: v.word_emotion.where("word_id in (1, 2, 3, 4)").select("word_id", F.round("valence", 6).alias("valence"), F.round("arousal", 6).alias("arousal"), F.lit(0.0).alias("dominance")))
+query("f13_emotion_lookup", "SELECT word_id, round(valence, 6) AS valence, round(arousal, 6) AS arousal, 0.0::DOUBLE AS dominance FROM word_emotion")(lambda v: v.word_emotion.select("word_id", F.round("valence", 6).alias("valence"), F.round("arousal", 6).alias("arousal"), F.lit(0.0).alias("dominance")))
 query("f16_duplicate_terms", "SELECT DISTINCT lower(p_name) AS term FROM part JOIN (SELECT lower(event_type) || ' ring' AS t FROM events UNION SELECT 'small ring') ON t = lower(p_name)")(lambda v: v.table("part").select(F.lower("p_name").alias("term")).distinct().join(v.queue.select(F.concat(F.lower("event_type"), F.lit(" ring")).alias("term")).union(v.spark.createDataFrame([("small ring",)], "term string")), "term", "left_semi"))
 
 query("j01_untagged_backlog", "SELECT id, term FROM words WHERE id NOT IN (SELECT word_id FROM word_emotion) ORDER BY id LIMIT 50")(lambda v: v.words.join(v.word_emotion.select(F.col("word_id").alias("id")), "id", "left_anti").select("id", "term").orderBy("id").limit(50))
@@ -132,5 +132,5 @@ query("t09_slices", f"{_SYN} SELECT word, array_to_string(list(lemma ORDER BY or
 query("q18_discovery", ", rel AS (SELECT s.term AS word, lower(trim(related_term)) AS other FROM relationships JOIN words s ON s.id = word_id WHERE relationship_type = 'evokes'), d0 AS (SELECT term AS word FROM words WHERE id = 0), d1 AS (SELECT DISTINCT other AS word FROM rel WHERE word IN (SELECT word FROM d0) AND other NOT IN (SELECT word FROM d0)), d2 AS (SELECT DISTINCT other AS word FROM rel WHERE word IN (SELECT word FROM d1) AND other NOT IN (SELECT word FROM d0 UNION SELECT word FROM d1)) SELECT word, 0 AS depth FROM d0 UNION ALL SELECT word, 1 FROM d1 UNION ALL SELECT word, 2 FROM d2")(
     lambda v: lexical.discovery(v.words.where("id = 0").select(F.col("term").alias("word")), v.relationships.where("relationship_type = 'evokes'").join(v.words.select(F.col("id").alias("word_id"), F.col("term").alias("word")), "word_id").select("word", F.col("related_term").alias("other")), 2)
 )
-query("k26_demo_crud", "SELECT id, term, CASE WHEN id % 2 = 0 THEN 'updated ' || term ELSE coalesce(definition, '') END AS definition, 'en' AS language FROM words WHERE id % 100 = 0")(lambda v: v.words.where("id % 100 = 0").select("id", "term", F.when(F.col("id") % 2 == 0, F.concat(F.lit("updated "), "term")).otherwise(F.coalesce("definition", F.lit(""))).alias("definition"), F.lit("en").alias("language")))
+query("k26_demo_crud", "SELECT id, term, CASE WHEN id % 2 = 0 THEN 'updated ' || term ELSE coalesce(definition, '') END AS definition, 'en' AS language FROM words")(lambda v: v.words.select("id", "term", F.when(F.col("id") % 2 == 0, F.concat(F.lit("updated "), "term")).otherwise(F.coalesce("definition", F.lit(""))).alias("definition"), F.lit("en").alias("language")))
 query("p07_result_values", "SELECT id, coalesce(definition, 'Not Found') AS value, CASE WHEN definition IS NULL THEN 'NOT_FOUND' END AS error FROM words")(lambda v: v.words.select("id", F.struct(F.col("definition").alias("value"), F.when(F.col("definition").isNull(), F.lit("NOT_FOUND")).alias("error")).alias("r")).select("id", F.coalesce("r.value", F.lit("Not Found")).alias("value"), "r.error"))

@@ -37,7 +37,7 @@ query("a24_top_errors", "SELECT item, count(*) AS n FROM queue WHERE event_type
 query("a26_productivity", "SELECT user_id, round(count(*) / (count(*) + greatest(0, count(*) FILTER (event_type = 'signup') - count(*) FILTER (event_type = 'click'))), 6) AS productivity FROM queue GROUP BY 1")(lambda v: v.queue.groupBy("user_id").agg(F.count(F.lit(1)).alias("p"), (F.count_if(F.col("event_type") == "signup") - F.count_if(F.col("event_type") == "click")).alias("g")).select("user_id", _R(work.productivity(F.col("p"), F.col("g"))).alias("productivity")))
 query("a28_conversation_metrics", "SELECT speaker, count(*) AS n, round(avg(length(text)), 6) AS mean FROM messages GROUP BY 1")(lambda v: v.messages.groupBy("speaker").agg(F.count(F.lit(1)).alias("n"), _R(F.avg(F.length("text"))).alias("mean")))
 query("a29_parser_stats", "SELECT count(*) AS processed, count(*) FILTER (event_type <> 'error') AS successful, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT lower(trim(item))) AS unique_words FROM queue")(lambda v: v.queue.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("event_type") != "error").alias("successful"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct(F.lower(F.trim("item"))).alias("unique_words")))
-query("a30_worker_line", "SELECT user_id, printf('%d processed, %.2f mean', count(*), avg(value)) AS line FROM queue WHERE user_id < 20 GROUP BY 1")(lambda v: v.queue.where("user_id < 20").groupBy("user_id").agg(F.format_string("%d processed, %.2f mean", F.count(F.lit(1)), F.avg("value")).alias("line")))
+query("a30_worker_line", "SELECT user_id, printf('%d processed, %.2f mean', count(*), avg(value)) AS line FROM queue GROUP BY 1")(lambda v: v.queue.groupBy("user_id").agg(F.format_string("%d processed, %.2f mean", F.count(F.lit(1)), F.avg("value")).alias("line")))
 
 _ROLL = "SELECT seq, round(avg(value) OVER (PARTITION BY {by} ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS rolling FROM queue"
 query("w01_rolling_wait", _ROLL.format(by="user_id"))(lambda v: stats.rolling_mean(v.queue, "value", ["seq"], ["user_id"]).select("seq", F.round("rolling", 9).alias("rolling")))
@@ -48,7 +48,7 @@ query("w05_last_errors", "SELECT user_id, seq FROM (SELECT *, row_number() OVER
 query("w07_error_runs", ", i AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY seq) AS island FROM queue) SELECT user_id, max(n) AS longest FROM (SELECT user_id, island, count(*) AS n FROM i WHERE event_type = 'error' GROUP BY 1, 2) GROUP BY 1")(lambda v: work.error_runs(v.queue, "user_id", "seq", F.col("event_type") == "error"))
 query("w08_keep_first", "SELECT event_type, min(seq) AS seq FROM queue GROUP BY 1")(lambda v: v.queue.groupBy("event_type").agg(F.min("seq").alias("seq")))
 
-query("f14_conversation", "SELECT conversation_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY timestamp, id) AS content FROM messages WHERE conversation_id < 20 GROUP BY 1")(lambda v: sinks.conversation_export(v.messages.where("conversation_id < 20"), "text"))
+query("f14_conversation", "SELECT conversation_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY timestamp, id) AS content FROM messages GROUP BY 1")(lambda v: sinks.conversation_export(v.messages, "text"))
 query("j08_conversation_messages", "SELECT conversation_id AS id, min(timestamp) AS created_at, max(timestamp) AS updated_at, count(*) AS messages FROM messages GROUP BY 1")(lambda v: work.conversations(v.messages))
 query("j09_message_emotion", "SELECT m.id, CASE WHEN m.id % 2 = 0 THEN 'neutral' END AS label FROM messages m")(lambda v: v.messages.select("id").join(v.messages.where("id % 2 = 0").select("id", F.lit("neutral").alias("label")), "id", "left"))
 query("k06_end_conversation", "SELECT conversation_id AS id, CASE WHEN conversation_id % 3 = 0 THEN 'COMPLETED' ELSE 'ACTIVE' END AS status, greatest(max(timestamp), CASE WHEN conversation_id % 3 = 0 THEN 99::DOUBLE END) AS updated_at FROM messages GROUP BY 1")(lambda v: work.ended(work.conversations(v.messages), v.messages.where("conversation_id % 3 = 0").select(F.col("conversation_id").alias("id"), F.lit(99.0).alias("at"))).select("id", "status", "updated_at"))
@@ -81,6 +81,6 @@ query("v06_legacy_result", f"{_Q} SELECT vec_id AS id, round({_METRICS['cosine']
 query("v12_similarity", f"{_Q} SELECT vec_id, round(list_cosine_similarity(embedding, e), 6) AS similarity FROM vectors, q")(lambda v: v.vectors.select("vec_id", _R(1 - vectors.distance(F.col("embedding"), F.array(*map(F.lit, _query_vector(v))))).alias("similarity")))
 query("f15_metadata_filter", "SELECT vec_id FROM vectors WHERE label = 2")(lambda v: v.vectors.where("label = 2").select("vec_id"))
 query("t05_topk_capped", f"{_Q} SELECT vec_id FROM vectors, q ORDER BY {_METRICS['dot']}, vec_id LIMIT 100")(lambda v: vectors.search(v.vectors, _query_vector(v), 1000, "dot").select("vec_id"))
-query("k08_vector_upsert", "SELECT vec_id, label FROM vectors WHERE vec_id >= 50 UNION ALL SELECT vec_id, 9 FROM vectors WHERE vec_id < 50")(lambda v: (lambda items: vectors.upsert(items, items.where("id < 50").withColumn("label", F.lit(9)), 64).select(F.col("id").alias("vec_id"), "label"))(v.vectors.withColumnRenamed("vec_id", "id")))
+query("k08_vector_upsert", "SELECT vec_id, CASE WHEN label = 1 THEN 9 ELSE label END AS label FROM vectors")(lambda v: (lambda items: vectors.upsert(items, items.where("label = 1").withColumn("label", F.lit(9)), 64).select(F.col("id").alias("vec_id"), "label"))(v.vectors.withColumnRenamed("vec_id", "id")))
 query("k09_vector_delete", "SELECT concat('w_', id) AS id FROM words WHERE id <> 5")(lambda v: vectors.delete(vectors.items(v.words), 5).where("content_type = 'word'").select("id"))
 query("v02_hashed_embedding")(lambda v: v.words.select("id", vectors.hashed_embedding(F.col("term")).alias("embedding")))
