@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, s
 
     # one row for each source
     named = spark.createDataFrame([(k, r["source"], sizes[k], goal[k]) for k, r in enumerate(sums)], "src int, source string, source_size long, target double")
-    n_buckets = buckets_for(sum(int(r["n"]) for r in sums))
+    n_buckets = buckets_for(sum(int(r["n"]) for r in sums), 5_000)
     rows = lookup(rows, named, "source", n=len(sums)).drop("source")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "size"), F.lit(n_buckets)))  # also deals out rows without an id
     upto = Window.partitionBy("src", "bucket").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
