@@ -56,7 +56,7 @@ def _(v):
     return lexicons.word_list(v.spark, path)
 
 
-@query("s18_media_files")
+@query("s18_media_files", "SELECT CAST(0 AS BIGINT) AS media")
 def _(v):
     path = _folder(v)
     v.queue.select("item").write.text(path)

@@ -15,14 +15,14 @@ query("s04_sql", "SELECT id, term FROM words WHERE term LIKE 'small%'")(lambda v
 query("s05_scalar_sql", "SELECT count(*) AS n FROM words")(lambda v: store.sql(v.spark, "SELECT count(*) AS n FROM words", words=v.words))
 
 
-@query("s06_table_exists")
+@query("s06_table_exists", "SELECT * FROM (VALUES ('words', true), ('no_such_table', false)) t(name, found)")
 def _(v):
     v.words.createOrReplaceTempView("words")
     names = ["words", "no_such_table"]
     return v.spark.createDataFrame([(t, v.spark.catalog.tableExists(t)) for t in names], "name string, found boolean")
 
 
-@query("s07_verify_tables")
+@query("s07_verify_tables", "SELECT true AS complete, false AS incomplete")
 def _(v):
     v.words.createOrReplaceTempView("words")
     v.relationships.createOrReplaceTempView("relationships")
