@@ -217,20 +217,26 @@ query("a18_tuned_weights", f"{_CONF} SELECT label, round(CASE WHEN tp + fp < 10
 query("f22_keyword_resolution", "SELECT label, count(*) AS n FROM (VALUES " + ", ".join(f"('{n}', '{w}')" for n, _, _, ws in CATEGORIES for w in (["glee"] if n == "happiness" else ws)) + ") t(label, word) GROUP BY 1")(lambda v: categories(v.spark).select("label", F.explode(F.coalesce(F.when(F.col("label") == "happiness", F.array(F.lit("glee"))), F.col("keywords"))).alias("w")).groupBy("label").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("e19_text_emotion")
+_LEXICON = "CASE w " + " ".join(f"WHEN '{w}' THEN {x}::DOUBLE" for w, x in sorted(C.seed_lexicon().items())) + " ELSE 0::DOUBLE END"
+_SCORED_TEXT = f"""SELECT *, s / sqrt(s * s + 15) AS p, least((length(text) - length(replace(text, '!', ''))) / 5, 1) AS marks, length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / greatest(length(text), 1) AS upper
+  FROM (SELECT *, list_sum(list_transform(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: {_LEXICON})) AS s FROM {{rows}})"""
+_AROUSAL = "greatest(0, least(1, (abs(p) + marks + upper * 2 + abs(p) * 4) / 5))"
+_FELT = _MSG + f", felt AS ({_SCORED_TEXT.replace('{rows}', 'msg')})"
+
+
+@query("e19_text_emotion", f"{_FELT} SELECT id, round(p, 6) + 0 AS valence, round({_AROUSAL}, 6) + 0 AS arousal FROM felt")
 def _(v):
     e = C.text_emotion(F.col("text"))
     return _msg(v).select("id", *[_R(e[k]).alias(k) for k in ("valence", "arousal")])
 
 
-@query("e21_process_messages")
+@query("e21_process_messages", _CLS.replace(_MSG, _FELT + ", spoken AS (SELECT id, text, p AS valence FROM felt)").replace("FROM msg),\ntop", "FROM spoken),\ntop") + " SELECT id, label, round(confidence, 6) + 0 AS confidence FROM classified")
 def _(v):
     e = C.text_emotion(F.col("text"))
     return C.classify(_msg(v).withColumns(e)).select("id", "label", _R("confidence").alias("confidence"))
 
 
-@query("e40_enrich_words")
+@query("e40_enrich_words", f" SELECT id AS word_id, round(p, 6) + 0 AS valence, round({_AROUSAL}, 6) + 0 AS arousal FROM ({_SCORED_TEXT.replace('{rows}', '(SELECT id, term AS text FROM words)')})")
 def _(v):
     e = C.text_emotion(F.col("term"))
     return v.words.select(F.col("id").alias("word_id"), *[_R(e[k]).alias(k) for k in ("valence", "arousal")])
-
