@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
@@ -44,14 +45,36 @@ def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
     return max(4, -(-rows // per_bucket))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is in ``kept`` (null matches null), with the columns of ``docs``.
+def text_digest(text_col: str = "text") -> Column:
+    """SHA-256 of a text; null counts as empty."""
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, key: str | tuple[str, ...] = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose key (a column or several) is in ``kept`` (null matches null), with the columns of ``docs``.
 
     A key repeated in ``kept`` means that one of several rows with this key was chosen more than once; ``docs`` rows
     are never multiplied.
     """
-    chosen = kept.select(F.col(key).alias("__kept")).distinct()
-    return docs.join(chosen, F.col("__kept").eqNullSafe(docs[key]), "left_semi")
+    keys = (key,) if isinstance(key, str) else key
+    chosen = kept.select(*[F.col(c).alias(f"__kept{k}") for k, c in enumerate(keys)]).distinct()
+    match = [F.col(f"__kept{k}").eqNullSafe(docs[c]) for k, c in enumerate(keys)]
+    return docs.join(chosen, functools.reduce(lambda a, b: a & b, match), "left_semi")
+
+
+def keep_one(docs: DataFrame, kept: DataFrame, digest: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each id and text digest in ``kept``; of several the first by its other columns."""
+    names = docs.columns
+    out = keep_rows(docs.withColumn("__digest", text_digest(text_col)), kept.select(id_col, F.col(digest).alias("__digest")), (id_col, "__digest"))
+    if repeats(docs, id_col, text_col):
+        first = F.min(F.struct(*[F.struct(F.col(c).isNull().alias("none"), c).alias(c) for c in names if c != text_col], F.col(text_col))).alias("first")
+        out = out.groupBy(id_col, "__digest").agg(first).select(*[F.col(f"first.{c}" if c == text_col else f"first.{c}.{c}") for c in names])
+    return out.select(*names)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> bool:
+    """Whether rows share their id and text."""
+    return docs.groupBy(F.col(id_col), text_digest(text_col)).count().where("count > 1").limit(1).count() > 0
 
 
 #: Rows of a table that may be broadcast, of some hundred bytes each.
