@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE_PATTERN, buckets_for, cut, lookup, n_words
+from .common import SPACE_PATTERN, buckets_for, cut, lookup, n_words, repeats, text_digest
 
 CHUNK = 65_536
 
@@ -68,18 +68,21 @@ def permuted(x: Column, m: Column, seed: int, source: Column, epoch: Column, rou
     return F.aggregate(keys, x, swap)
 
 
-def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str):
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, key: tuple[str, ...] = ()):
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *key))
     # one row for each source
     sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     sums = sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))
     return rows, sums
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 128, shards: int = 64, seed: int = 20_240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each input row: id, size, source_size, target, taken, and blocks: array of (at, n, uses), the words at..at+n of the document that each block takes, and how often."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 128, shards: int = 64, seed: int = 20_240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each input row: id, size, source_size, target, taken, and blocks: array of (at, n, uses), the words at..at+n of the document that each block takes, and how often.
+
+    ``key``: further columns, given back at the end, that tell rows without an id or with a repeated one apart.
+    """
     spark = docs.sparkSession
-    rows, sums = _streams(docs, id_col, text_col, source_col)
+    rows, sums = _streams(docs, id_col, text_col, source_col, key)
     sizes = [int(r["size"]) for r in sums]
     goal = targets(sizes, [weights[k % len(weights)] for k in range(len(sums))], cap, share * sum(sizes))
     blocks = [-(-s // block_words) for s in sizes]
@@ -99,8 +102,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, s
     named = spark.createDataFrame([(k, r["source"], sizes[k], goal[k]) for k, r in enumerate(sums)], "src int, source string, source_size long, target double")
     n_buckets = buckets_for(sum(int(r["n"]) for r in sums), 5_000)
     rows = lookup(rows, named, "source", n=len(sums)).drop("source")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "size"), F.lit(n_buckets)))  # also deals out rows without an id
-    upto = Window.partitionBy("src", "bucket").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = F.when(F.col("id").isNull(), F.xxhash64("id", "size", *key)).otherwise(F.xxhash64("id", "size"))
+    rows = rows.withColumn("bucket", F.pmod(dealt, F.lit(n_buckets)))  # also deals out rows without an id
+    upto = Window.partitionBy("src", "bucket").orderBy("id", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
     rows = cut(rows.withColumn("inner", F.coalesce(F.sum("size").over(upto), F.lit(0))))
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     outer = rows.groupBy("src", "bucket").agg(F.sum("size").alias("sum")).select("src", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("outer"))
@@ -112,18 +116,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, s
     pieces = pieces.select("src", "start", "block", (low - F.col("start")).alias("at"), (high - low).alias("n")).join(uses.hint("merge"), ["src", "block"])
     of_doc = pieces.groupBy("src", "start").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"), F.sort_array(F.collect_list(F.struct("at", "n", "uses"))).alias("blocks"))
     out = rows.join(of_doc.withColumn("worded", F.lit(True)), (rows["src"] == of_doc["src"]) & (rows["start"] == of_doc["start"]) & (rows["size"] > 0), "left").drop(of_doc["src"]).drop(of_doc["start"])
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "blocks")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "blocks", *key)
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", cap: int = 3, **options) -> DataFrame:
     """The mix as documents, with the columns of docs: one row for each pass over a document, up to ``cap``.
 
     A pass whose blocks all take part is the whole text as it is; otherwise it holds the words of the blocks that do,
-    joined by one space, and ``length_col`` (if the table has it) is counted again.  Ids must be unique.
+    joined by one space, and ``length_col`` (if the table has it) is counted again.  Rows are told apart by id, text
+    digest and, where these repeat, their number among such rows in the order of the other columns.
     """
     names = docs.columns
-    plan = mix(docs, id_col=id_col, text_col=text_col, cap=cap, **options).where("taken > 0").select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("blocks").alias("__blocks"))
-    both = docs.join(plan, F.col("__id").eqNullSafe(docs[id_col])).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("__blocks", lambda b: b["uses"])).cast("int"))))
+    nth = F.lit(0)
+    if repeats(docs, id_col, text_col):
+        nth = F.row_number().over(Window.partitionBy(id_col, "__digest").orderBy(*[F.col(c).asc_nulls_first() for c in names]))
+    docs = docs.withColumn("__digest", text_digest(text_col)).withColumn("__nth", nth)
+    key = ("__digest", "__nth")
+    plan = mix(docs, id_col=id_col, text_col=text_col, cap=cap, key=key, **options).where("taken > 0").select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("blocks").alias("__blocks"), *[F.col(c).alias(f"{c}_") for c in key])
+    both = docs.join(plan, F.col("__id").eqNullSafe(docs[id_col]) & (F.col("__digest") == F.col("__digest_")) & (F.col("__nth") == F.col("__nth_"))).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("__blocks", lambda b: b["uses"])).cast("int"))))
     both = both.withColumn("__taken", F.filter("__blocks", lambda b: b["uses"] >= F.col("__pass")))
     whole = F.aggregate("__taken", F.lit(0).cast("long"), lambda a, b: a + b["n"]) == F.col("__size")
     words = F.filter(F.split(F.col(text_col), SPACE_PATTERN), lambda w: w != F.lit(""))
