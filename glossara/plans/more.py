@@ -101,14 +101,13 @@ query("t02_cluster_members", f"{_LP} SELECT label, string_agg(term, '|' ORDER BY
 
 @query("g11_louvain")
 def _(v):
-    found = clusters.louvain(v.edges.where("dimension = 'emotional'"))
+    found = clusters.louvain(v.edges)
     return v.spark.createDataFrame(sorted(found.items()) or [(0, 0)], "id long, community long")
 
 
 @query("g11l_betweenness")
 def _(v):
-    found = clusters.betweenness(graph.induced(v.edges, graph.k_hop(v.edges, v.nodes.where("id = 0").select("id"), 1)))
-    return v.spark.createDataFrame(sorted(found.items()) or [(0, 0.0)], "id long, score double")
+    return clusters.betweenness_by_source(v.edges)
 
 
 query("g10_store_context", "SELECT 'clinical' AS context, factor, weight FROM (VALUES ('anger', 0.2::DOUBLE), ('fear', 0.5::DOUBLE), ('joy', 0.1::DOUBLE)) t(factor, weight)")(lambda v: v.spark.createDataFrame([("clinical", {"anger": 0.2, "fear": 0.5, "joy": 0.1})], "context string, f map<string,double>").select("context", F.explode("f").alias("factor", "weight")))
