@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import examples
@@ -58,6 +63,46 @@ def search(vectors: DataFrame, vector: list[float], k: int = 10, metric: str = "
     return rows.select(id_col, (1 - d if flip else d).alias("distance")).orderBy("distance", id_col).limit(min(k, MAX_RESULTS))
 
 
+def search_all(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024, id_col: str = "vec_id") -> DataFrame:
+    """(q, id, distance): the k rows nearest to each query row by Euclidean distance, of equals the smallest id.
+
+    Queries (q, e) pass the driver in blocks of ``block``; each partition of ``vectors`` keeps its k nearest for each query
+    of a block, and these are merged by query.  Rows without a vector take no part.
+    """
+
+    def of_block(ids: np.ndarray, e: np.ndarray) -> DataFrame:
+        step = max(1, 4_000_000 // e.size)
+
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best, who = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+            for batch in batches:
+                names, x = batch["id"].to_numpy(np.int64), np.array(batch["e"].tolist(), float)
+                for a in range(0, len(x), step):
+                    d = np.sqrt(((e[:, None, :] - x[None, a : a + step, :]) ** 2).sum(axis=2))
+                    d, w = np.c_[best, d], np.c_[who, np.broadcast_to(names[a : a + step], d.shape)]
+                    order = np.lexsort((w, d), axis=1)[:, :k]
+                    best, who = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
+            found = np.isfinite(best)
+            yield pd.DataFrame({"q": np.repeat(ids, found.sum(axis=1)), "id": who[found], "distance": best[found]})
+
+        rows = vectors.where("embedding is not null").select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+        near = rows.mapInPandas(of, "q long, id long, distance double")
+        # k rows for each partition and query
+        nearest = near.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("x"))
+        return nearest.select("q", F.explode("x").alias("x")).select("q", F.col("x.id").alias(id_col), "x.distance")
+
+    out, held = [], []
+    for row in queries.where("e is not null").orderBy("q").toLocalIterator():
+        held.append(row)
+        if len(held) >= block and held[-1]["q"] != held[-2]["q"]:  # rows that repeat an id stay in one block
+            out.append(of_block(np.array([r["q"] for r in held[:-1]], np.int64), np.array([r["e"] for r in held[:-1]], float)))
+            held = held[-1:]
+    if held:
+        out.append(of_block(np.array([r["q"] for r in held], np.int64), np.array([r["e"] for r in held], float)))
+    empty = vectors.limit(0).select(F.col(id_col).alias("q"), F.col(id_col), F.lit(0.0).alias("distance"))
+    return reduce(DataFrame.unionByName, out, empty)
+
+
 def _let(value: Column, f) -> Column:
     """f(value) with the value computed once for each row."""
     return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -1,9 +1,11 @@
-"""Queries that take every edge, against brute force."""
+"""Queries that take every edge and every twentieth vector, against brute force."""
 
 import math
 import random
 
-from glossara.operators import clusters
+from pyspark.sql import functions as F
+
+from glossara.operators import clusters, vectors
 from glossara.plans import adapters, registry
 
 registry.load()
@@ -25,3 +27,15 @@ def test_cluster_queries_take_all_edges(spark):
     ends = {x for r in edges.select("u", "v").collect() for x in r}
     for name in ("g11_louvain", "g11l_betweenness"):
         assert {r.id for r in registry.QUERIES[name](spark, d).collect()} == ends
+
+
+def test_search_all_against_brute_force(spark):
+    rng = random.Random(4)
+    points = {k: [float(rng.randrange(6)) for _ in range(3)] for k in range(90)}
+    rows = spark.createDataFrame([*points.items(), (91, None)], "vec_id long, embedding array<float>").repartition(4)
+    queries = rows.where("vec_id % 9 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
+    got = {}
+    for r in vectors.search_all(rows, queries, 5, block=3).collect():
+        got.setdefault(r.q, []).append((r.distance, r.vec_id))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted((math.dist(points[q], p), k) for k, p in points.items())[:5] for q in points if q % 9 == 0}
+    assert vectors.search_all(rows, queries.where("false")).count() == 0
