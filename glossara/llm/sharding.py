@@ -66,7 +66,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
     # fewer than 3 * BIG groups can weigh more than a BIG-th of the corpus in one of three measures
     limit = [max(x / BIG, 1.0) for x in whole]
-    big = groups.where((F.col("size") > limit[0]) | (F.col("tokens") > limit[1]) | (F.col("n") > limit[2])).where("n > 1").orderBy("digest").collect()
+    big = groups.where((F.col("size") > limit[0]) | (F.col("tokens") > limit[1]) | (F.col("n") > limit[2])).orderBy("digest").collect()
     spark = docs.sparkSession
     cuts = [min(int(g["n"]), max(1, int(np.ceil(4 * (np.array([g["size"], g["tokens"], g["n"]], float) / capacity).max())))) for g in big]
     table = spark.createDataFrame([(bytes(g["digest"]), k, c) for k, (g, c) in enumerate(zip(big, cuts))], "digest binary, grp int, cuts int")

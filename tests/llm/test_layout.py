@@ -52,6 +52,16 @@ def test_shards_balance_with_a_hot_group(spark):
     assert again == {(r.doc_id, r.shard, r.slot) for r in got}
 
 
+def test_shards_balance_with_long_single_texts(spark):
+    rng = random.Random(4)
+    rows = [(k, f"{k} " + "z" * 200_000) for k in range(20)] + [(100 + k, f"{k} " + "z" * rng.randint(1, 900)) for k in range(40_000)]
+    size = Counter()
+    for r in shard(spark.createDataFrame(rows, "doc_id long, text string"), per_bucket=500).collect():
+        size[r.shard] += r["size"]
+    mean = sum(size.values()) / 16
+    assert all(abs(x - mean) < 0.02 * mean for x in size.values())
+
+
 def test_small_groups_stay_together(spark):
     rows = [(k, f"text {k % 1500} " + "q" * (k % 1500 % 50)) for k in range(4500)]
     got = shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
