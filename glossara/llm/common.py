@@ -5,8 +5,9 @@ from __future__ import annotations
 import functools
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -25,10 +26,45 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def full_path(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: one without a scheme is in Spark's default file system, as Spark itself takes it."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+#: Scratch folders of this session, oldest first.
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the shared one, which ``release`` deletes."""
+    _scratch.append(full_path(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"))
+    return _scratch[-1]
+
+
+def mark() -> int:
+    """A point for ``release``."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the scratch folders and checkpoints made after a ``mark``.  Results that still read them must be written first."""
+    gone = [path for path in _scratch[since:] if path not in keep]
+    _scratch[since:] = [path for path in _scratch[since:] if path in keep]
+    for path in gone:
+        own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared checkpoint folder, so that later reads survive lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _scratch.append(file.get())
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +113,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.groupBy(F.col(id_col), text_digest(text_col)).count().where("count > 1").limit(1).count() > 0
 
 
+#: Rows of one group that a window sums up in one task.
+SPAN = 2_000
+
+
+def starts(counts: DataFrame, key: str, order: str, value: str, span: int = SPAN) -> DataFrame:
+    """counts with ``start``: the sum of ``value`` over the rows of the same key with a smaller ``order`` (whole, from 0).
+
+    Sums go by spans of ``span`` orders and then over the spans, so no task sorts all rows of a key.
+    """
+    rows = counts.withColumn("__span", F.floor(F.col(order) / F.lit(span)))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy(key, "__span").agg(F.sum(value).alias("__sum"))
+    spans = spans.select(key, "__span", F.coalesce(F.sum("__sum").over(before(key, "__span")), F.lit(0)).alias("__before"))
+    rows = rows.withColumn("start", F.coalesce(F.sum(value).over(before(key, "__span", order)), F.lit(0)))
+    return rows.join(spans, [key, "__span"]).withColumn("start", F.col("start") + F.col("__before")).drop("__span", "__before")
+
+
 #: Rows of a table that may be broadcast, of some hundred bytes each.
 LOOKUP_ROWS = 50_000
 SALTS = 32

@@ -1,11 +1,13 @@
 """Sharding by vector bin packing: bytes, tokens and rows of a group are balanced jointly.
 
-A group is all rows of one text.  Groups that weigh more than a 4096th of the corpus in some measure (so fewer than
-3 * 4096 of them) are placed first, largest first, each where the dot product of its vector with the residual capacity
-is highest; those above a quarter of a shard are cut into pieces by the row's id.  All others are dealt into buckets of
-about ``per_bucket`` rows by the hash of their text, and each bucket places its groups, largest first, by the same rule
-against its share of what the shards have left.  No task sees more than one bucket, and the buckets' errors, of about
-their smallest groups, do not add up in one direction.
+A group is all rows of one text.  Groups, of one row or many, that weigh more than a 4096th of the corpus in some measure
+(so fewer than 3 * 4096 of them) are placed first, largest first, each where the dot product of its vector with the
+residual capacity is highest.  A group stays whole in one shard unless its bytes exceed a shard; then no law of bytes can
+hold with it whole, and its rows are cut by their id into pieces of about a quarter of a shard.  All others are dealt into
+buckets of about ``per_bucket`` rows by the hash of their text, and each bucket places its groups, largest first, by the
+same rule against its share of what the shards have left.  No task sees more than one bucket, and the buckets' errors, of
+about their smallest groups, do not add up in one direction.  Shards differ in bytes by no more than about the largest
+row; a group of many short rows may take its shard's rows and tokens off the mean, as groups stay together.
 
 Defined cases: a null text has no bytes and no tokens and forms one group with empty texts; rows are never dropped, also
 those with a null or repeated id; an empty table gives an empty result; other columns are ignored.
@@ -15,29 +17,32 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import buckets_for, cut, n_words
+from .common import buckets_for, cut, n_words, starts
 
 BIG = 4096
 #: Weights of bytes, tokens and rows in the dot product; the law that holds is that of bytes.
-WEIGHTS = np.array([4.0, 1.0, 1.0])
+WEIGHTS = np.array([8.0, 1.0, 1.0])
 
 
 def place(vectors: np.ndarray, residual: np.ndarray, capacity: np.ndarray, turn: int = 0) -> np.ndarray:
     """Shard of each vector: largest first, where the dot product with the residual capacity is highest.
 
     ``residual`` (shards x measures) is lowered in place.  Vectors and residuals are taken relative to ``capacity``.
+    A shard that whole groups have filled beyond its share of tokens or rows counts as full in that measure, no worse.
     Equal products go to the shard that follows ``turn``.
     """
     scaled, left = vectors / capacity * WEIGHTS, residual / capacity * WEIGHTS
     chosen = np.empty(len(vectors), np.int32)
     n = len(left)
     left = np.roll(left, -(turn % n), axis=0)
+    open_ = np.column_stack([left[:, :1], np.maximum(left[:, 1:], 0)])
     for i in np.argsort(-(vectors / capacity).max(axis=1), kind="stable"):
         v = scaled[i]
-        at = int(np.argmax(left @ v))
+        at = int(np.argmax(open_ @ v))
         left[at] -= v
+        open_[at] = left[at, 0], max(left[at, 1], 0.0), max(left[at, 2], 0.0)
         chosen[i] = at
     residual[:] = np.roll(left / WEIGHTS, turn % n, axis=0) * capacity
     return (chosen + turn % n) % n
@@ -68,10 +73,11 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     limit = [max(x / BIG, 1.0) for x in whole]
     big = groups.where((F.col("size") > limit[0]) | (F.col("tokens") > limit[1]) | (F.col("n") > limit[2])).orderBy("digest").collect()
     spark = docs.sparkSession
-    cuts = [min(int(g["n"]), max(1, int(np.ceil(4 * (np.array([g["size"], g["tokens"], g["n"]], float) / capacity).max())))) for g in big]
+    # only bytes cut a group, and only above a shard
+    cuts = [min(int(g["n"]), -(-4 * int(g["size"]) // int(capacity[0]))) if g["size"] > capacity[0] else 1 for g in big]
     table = spark.createDataFrame([(bytes(g["digest"]), k, c) for k, (g, c) in enumerate(zip(big, cuts))], "digest binary, grp int, cuts int")
-    # rows of a big group go to pieces by their id, so pieces are counted before they are placed; a group has no more
-    # pieces than quarters of a shard that it fills
+    # rows of a cut group go to pieces by their id, so pieces are counted before they are placed: all groups together
+    # have no more pieces than quarters of a shard that they fill
     rows = rows.join(F.broadcast(table), "digest", "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     counted = rows.where("grp is not null").groupBy("grp", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).orderBy("grp", "piece").collect()
     vectors = np.array([(p["size"], p["tokens"], p["n"]) for p in counted], float).reshape(-1, 3)
@@ -99,9 +105,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
     out = cut(rows.groupBy("bucket").applyInPandas(of_bucket, "id long, size long, tokens long, crc long, bucket int, shard int, local long"))
     # a row for each bucket and shard
-    counts = out.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    offsets = starts(out.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")), "shard", "bucket", "n").drop("n")
     return out.join(offsets, ["bucket", "shard"]).select(
         F.col("id").alias(id_col), "size", "tokens", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + F.col("local")).alias("slot")
     )
