@@ -8,7 +8,8 @@ roles ``: `` ``\\c``), so each control string in the output is one of the templa
 The loss mask is a list of (skip, take) lengths in characters: all and only the assistant's texts are taken.
 
 Defined cases: null texts and null roles count as empty; rows of one turn number are ordered by role, then text; a null
-conversation id is a conversation of its own; an empty table gives an empty result; other columns are ignored.
+conversation id is a conversation of its own; an empty table gives an empty result; other columns are ignored.  A
+conversation is one row of the output, so it has to stay below the 2 GB that a Spark value can hold.
 """
 
 from __future__ import annotations
@@ -71,17 +72,23 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant", key: str = "con
 
 
 def read_chats(chats: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Read back from the output: key, formatted, turns (array of (role, text), one for each input row), loss_text."""
-    messages = F.filter(F.split("formatted", "</turn>\n", -1), lambda m: m != F.lit(""))
-    cut_ = F.transform(messages, lambda m: F.struct(
-        unescape(F.replace(F.substring_index(F.substr(m, F.lit(len(OPEN) + 1)), ": ", 1), F.lit("\\c"), F.lit(": "))).alias("role"),
-        F.split(F.substr(m, F.lit(len(OPEN) + 3) + F.length(F.substring_index(F.substr(m, F.lit(len(OPEN) + 1)), ": ", 1))), PART, -1).alias("texts")))
-    turns = F.flatten(F.transform(cut_, lambda m: F.transform(m["texts"], lambda t: F.struct(m["role"].alias("role"), unescape(t).alias("text")))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("texts"))
-    read = F.aggregate(
-        "loss_mask", start,
-        lambda s, m: F.struct(
-            (s["at"] + m["skip"] + m["take"]).alias("at"),
-            F.when(m["take"] > 0, F.concat(s["texts"], F.array(F.substr("formatted", (s["at"] + m["skip"] + 1).cast("int"), m["take"].cast("int"))))).otherwise(s["texts"]).alias("texts")),
-        lambda s: F.array_join(F.transform(s["texts"], unescape), ""))
-    return chats.select(key, "formatted", turns.alias("turns"), read.alias("loss_text"))
+    """Read back from the output: key, formatted, turns (array of (role, text), one for each input row), loss_text.
+
+    The output is split once into its messages and texts; the mask's lengths, one for each text, are laid on the pieces
+    (what stands before a text, and the text), so the time is in proportion to the conversation's length.  A mask that
+    does not fit the pieces is an error.
+    """
+    messages = F.filter(F.split("formatted", CLOSE, -1), lambda m: m != F.lit(""))
+    head = lambda m: F.substring_index(F.substr(m, F.lit(len(OPEN) + 1)), ": ", 1)
+    parts = F.transform(messages, lambda m, i: F.struct(
+        head(m).alias("role"), (F.when(i > 0, F.lit(len(CLOSE))).otherwise(F.lit(0)) + len(OPEN) + F.length(head(m)) + 2).alias("lead"),
+        F.split(F.substr(m, F.lit(len(OPEN) + 3) + F.length(head(m))), PART, -1).alias("texts")))
+    role = lambda m: unescape(F.replace(m["role"], F.lit("\\c"), F.lit(": ")))
+    pieces = F.flatten(F.transform(parts, lambda m: F.transform(m["texts"], lambda t, i: F.struct(
+        role(m).alias("role"), F.when(i == 0, m["lead"]).otherwise(F.lit(len(PART))).alias("lead"), t.alias("text")))))
+    split = chats.select(key, "formatted", "loss_mask", pieces.alias("pieces"))
+    turns = F.transform("pieces", lambda p: F.struct(p["role"].alias("role"), unescape(p["text"]).alias("text")))
+    # a piece of the mask ends where its text ends, and takes the whole text or nothing
+    fits = lambda p, m: (m["skip"] + m["take"] == p["lead"] + F.length(p["text"])) & ((m["take"] == 0) | (m["skip"] == p["lead"]))
+    taken = F.zip_with("pieces", "loss_mask", lambda p, m: F.when(fits(p, m), F.when(m["take"] > 0, unescape(p["text"])).otherwise(F.lit(""))).otherwise(F.raise_error(F.lit("the loss mask does not fit the text")).cast("string")))
+    return split.select(key, "formatted", turns.alias("turns"), F.array_join(taken, "").alias("loss_text"))
