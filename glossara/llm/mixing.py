@@ -10,6 +10,9 @@ blocks are joined to slots by index.  As no source gets more than ``cap`` times
 Targets: all sizes together times ``share``, dealt by weight (sources by code point, null last, take ``weights`` in turn);
 a target stops at ``cap`` times its source's size and the excess is dealt again by weight among the others.
 
+The driver holds one row for each source and its draws, for at most ``max_sources`` sources; more are an error, not a
+smaller mix.
+
 Defined cases: a null text has no words and takes part with size 0; null sources are one source; null and repeated ids
 keep their rows; sources without words have target 0; an empty table gives an empty result; other columns are ignored.
 """
@@ -19,9 +22,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE_PATTERN, buckets_for, cut, lookup, n_words, repeats, text_digest
+from .common import SPACE_PATTERN, cut, lookup, n_words, repeats, starts, text_digest
 
 CHUNK = 65_536
+#: Rows of a source that one task sums up.
+PER_BUCKET = 500
 
 
 def targets(sizes: list[int], weights: list[float], cap: float, total: float) -> list[float]:
@@ -68,47 +73,51 @@ def permuted(x: Column, m: Column, seed: int, source: Column, epoch: Column, rou
     return F.aggregate(keys, x, swap)
 
 
-def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, key: tuple[str, ...] = ()):
+def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_sources: int, key: tuple[str, ...] = ()):
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *key))
-    # one row for each source
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    # one row for each source, no more than max_sources
+    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
+    if len(sums) > max_sources:
+        raise ValueError(f"more than {max_sources} sources: mix by a coarser column, or raise max_sources with the driver's memory")
     sums = sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))
     return rows, sums
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 128, shards: int = 64, seed: int = 20_240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 128, shards: int = 64, seed: int = 20_240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000, key: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: id, size, source_size, target, taken, and blocks: array of (at, n, uses), the words at..at+n of the document that each block takes, and how often.
 
     ``key``: further columns, given back at the end, that tell rows without an id or with a repeated one apart.
     """
     spark = docs.sparkSession
-    rows, sums = _streams(docs, id_col, text_col, source_col, key)
+    rows, sums = _streams(docs, id_col, text_col, source_col, max_sources, key)
     sizes = [int(r["size"]) for r in sums]
     goal = targets(sizes, [weights[k % len(weights)] for k in range(len(sums))], cap, share * sum(sizes))
     blocks = [-(-s // block_words) for s in sizes]
     quota = [min(cap * m, round(t * m / s)) if s else 0 for t, m, s in zip(goal, blocks, sizes)]
     plan = draw(quota, shards, seed)
     before = np.cumsum(plan, axis=0) - plan
-    spark_rows = [(k, s, int(before[k, s]), int(plan[k, s]), blocks[s]) for k in range(shards) for s in range(len(sums)) if plan[k, s]]
-    slots = spark.createDataFrame(spark_rows, "shard int, src int, j0 long, n long, m long").repartition(max(8, min(4096, sum(quota) // CHUNK)))
-    slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("c"))
-    slots = slots.select("src", "m", F.explode(F.sequence(F.col("j0") + F.col("c"), F.col("j0") + F.least(F.col("c") + CHUNK, F.col("n")) - 1)).alias("j"))
+    # one row for each source; slots are made from chunks that are dealt out first
+    plan_rows = [(k, blocks[k], before[:, k].tolist(), plan[:, k].tolist()) for k in range(len(sums)) if quota[k]]
+    drawn = spark.createDataFrame(plan_rows, "src int, m long, j0 array<long>, n array<long>")
+    chunks = drawn.select("src", "m", F.explode(F.arrays_zip("j0", "n")).alias("x")).where("x.n > 0")
+    chunks = chunks.select("src", "m", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.n") - 1, F.lit(CHUNK).cast("long"))).alias("c"))
+    chunks = chunks.select("src", "m", (F.col("x.j0") + F.col("c")).alias("j"), F.least(F.lit(CHUNK), F.col("x.n") - F.col("c")).alias("n"))
+    chunks = chunks.repartition(max(8, min(4096, sum(quota) // CHUNK)), "src", "j")
+    slots = chunks.select("src", "m", F.explode(F.sequence(F.col("j"), F.col("j") + F.col("n") - 1)).alias("j"))
     place = permuted(F.col("j") % F.col("m"), F.col("m"), seed, F.col("src"), F.floor(F.col("j") / F.col("m")).cast("long"))
     # Spark's estimate for what is made from the small plan table knows nothing of its slots, so the join below is told
     # not to broadcast it
     uses = slots.select("src", place.alias("block")).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
 
-    # one row for each source
-    named = spark.createDataFrame([(k, r["source"], sizes[k], goal[k]) for k, r in enumerate(sums)], "src int, source string, source_size long, target double")
-    n_buckets = buckets_for(sum(int(r["n"]) for r in sums), 5_000)
+    # a source's rows are dealt to buckets by their number, so one source is as many tasks as it has rows for
+    named = spark.createDataFrame([(k, r["source"], sizes[k], goal[k], -(-int(r["n"]) // PER_BUCKET)) for k, r in enumerate(sums)], "src int, source string, source_size long, target double, buckets long")
     rows = lookup(rows, named, "source", n=len(sums)).drop("source")
     dealt = F.when(F.col("id").isNull(), F.xxhash64("id", "size", *key)).otherwise(F.xxhash64("id", "size"))
-    rows = rows.withColumn("bucket", F.pmod(dealt, F.lit(n_buckets)))  # also deals out rows without an id
+    rows = rows.withColumn("bucket", F.pmod(dealt, F.col("buckets"))).drop("buckets")  # also deals out rows without an id
     upto = Window.partitionBy("src", "bucket").orderBy("id", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
     rows = cut(rows.withColumn("inner", F.coalesce(F.sum("size").over(upto), F.lit(0))))
-    earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    outer = rows.groupBy("src", "bucket").agg(F.sum("size").alias("sum")).select("src", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("outer"))
-    rows = rows.join(outer, ["src", "bucket"]).withColumn("start", F.col("outer") + F.col("inner")).drop("outer", "inner", "bucket")
+    outer = starts(rows.groupBy("src", "bucket").agg(F.sum("size").alias("sum")), "src", "bucket", "sum").drop("sum")
+    rows = rows.join(outer, ["src", "bucket"]).withColumn("start", F.col("start") + F.col("inner")).drop("inner", "bucket")
     size = F.lit(block_words)
     first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size)
     pieces = rows.where("size > 0").select("src", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
