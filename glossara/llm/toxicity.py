@@ -4,11 +4,15 @@ The label columns are predicted one after the other; each later model also gets
 categories, which in training are out-of-fold predictions, so that it learns from probabilities as good as those it will
 see.  Models are logistic regressions over the presence of selected words and word beginnings and a few text statistics.
 
+The labels table has two columns, so the chain has two links: ``quality`` leads, as toxic texts are more often poor ones,
+and ``toxic`` follows.  Other tables name their own ``categories``.
+
 Training uses at most ``sample_rows`` labelled documents (those of smallest hash); the vocabulary of each category is
 the ``vocabulary`` words whose document counts there depart most from independence (chi-squared of ``least_chi2`` or
 more, which a word reaches by chance less than once in a million).  Both bound what the
-driver holds.  Every document is scored, over its whole text.  The threshold of a category is the one with the best F1
-over out-of-fold predictions.
+driver holds.  Folds follow from the text's hash, so exact copies share a fold, and the vocabulary of a fold's model is
+chosen without the fold's rows.  Every document is scored, over its whole text.  The threshold of a category is the one
+with the best F1 over out-of-fold predictions; the F1 that is reported takes for each fold the threshold of the others.
 
 Defined cases: a null text scores as an empty one; labels that are null are not used for training; several labels of
 one id count as the largest; a category with one class only is predicted by its rate; without labels every probability is 0 and nothing is
@@ -17,11 +21,15 @@ flagged; null and repeated ids keep their rows; an empty table gives an empty re
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import cut
 
 STRIP = ".,;:!?\"'()[]{}«»„“”*#$%&|<>"
 STATS = 3
@@ -62,8 +70,11 @@ class Rows:
         return new
 
 
-def logistic(x: Rows, y: np.ndarray, penalty: float = 1.0, steps: int = 250) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of features and dense columns and the intercept, by Adam on the log loss plus penalty / 2 times the squared weights."""
+def logistic(x: Rows, y: np.ndarray, use: np.ndarray | None = None, penalty: float = 1.0, steps: int = 250) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of features and dense columns and the intercept, by Adam on the log loss plus penalty / 2 times the squared weights.
+
+    use: mask of the features that may get a weight.
+    """
     rate = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
     w, v, b = np.zeros(x.width), np.zeros(x.dense.shape[1]), np.log(rate / (1 - rate))
     if not len(y) or y.min() == y.max():
@@ -74,6 +85,7 @@ def logistic(x: Rows, y: np.ndarray, penalty: float = 1.0, steps: int = 250) ->
         p = 1 / (1 + np.exp(-np.clip(x.dot(flat[: x.width], flat[x.width : -1]) + flat[-1], -30, 30)))
         r = (p - y) / len(y)
         gw, gv = x.back(r)
+        gw = gw if use is None else gw * use
         g = np.concatenate([gw, gv, [r.sum()]]) + penalty / len(y) * np.r_[flat[:-1], 0]
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         flat = flat - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
@@ -102,65 +114,91 @@ def best_threshold(y: np.ndarray, p: np.ndarray) -> tuple[float, float]:
     return float((p[order[k]] + after) / 2), float(f1[k])
 
 
-def train_chain(features: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, width: int, fold: np.ndarray, folds: int = 5) -> dict:
-    """Models of the columns of ``labels`` in order, with the threshold and F1 of their out-of-fold predictions."""
+def nested_f1(y: np.ndarray, p: np.ndarray, fold: np.ndarray) -> float:
+    """F1 of predictions whose threshold, for each fold, is the best one of the other folds."""
+    flagged = np.zeros(len(y), bool)
+    for f in np.unique(fold):
+        held = fold == f
+        flagged[held] = p[held] >= best_threshold(y[~held], p[~held])[0]
+    both = flagged.sum() + y.sum()
+    return float(2 * (flagged & (y > 0)).sum() / both) if both else 0.0
+
+
+def train_chain(features: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, width: int, fold: np.ndarray, folds: int = 5, use: np.ndarray | None = None) -> dict:
+    """Models of the columns of ``labels`` in order, with thresholds from their out-of-fold predictions and nested F1.
+
+    use: (folds + 1) x width, the features of each fold's model and, last, of the model of all rows.
+    """
     dense, models, thresholds, scores, out_of_fold = stats, [], [], [], []
+    use = np.ones((folds + 1, width), bool) if use is None else use
     for k in range(labels.shape[1]):
         x, y = Rows(features, dense, width), labels[:, k].astype(float)
         oof = np.zeros(len(y))
         for f in range(folds):
             held = fold == f
             if held.any():
-                oof[held] = proba(logistic(x.take(~held), y[~held]), x.take(held))
-        models.append(logistic(x, y))
-        t, f1 = best_threshold(y, oof)
-        thresholds.append(t)
-        scores.append(f1)
+                oof[held] = proba(logistic(x.take(~held), y[~held], use[f]), x.take(held))
+        models.append(logistic(x, y, use[folds]))
+        thresholds.append(best_threshold(y, oof)[0])
+        scores.append(nested_f1(y, oof, fold))
         out_of_fold.append(oof)
         dense = np.column_stack([dense, logit(oof)])
     return {"models": models, "thresholds": thresholds, "f1": scores, "oof": np.column_stack(out_of_fold)}
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, vocabulary: int = 1_500, min_docs: int = 4, least_chi2: float = 25.0) -> dict:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, vocabulary: int = 1_500, min_docs: int = 4, least_chi2: float = 25.0, folds: int = 5) -> dict:
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories]).dropna()
     # at most sample_rows rows
     sample = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
-    chosen = spark.createDataFrame([tuple(r) for r in sample], "id long, " + ", ".join(f"c{k} int" for k in range(len(categories))))
+    classes = [f"c{k}" for k in range(len(categories))]
+    chosen = spark.createDataFrame([tuple(r) for r in sample], "id long, " + ", ".join(f"{c} int" for c in classes))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words_of(t) for t in texts], pa.list_(pa.string())), pa.array([stats_of(t) for t in texts], pa.list_(pa.float64()))], ["id", "words", "stats"])
+            fold = [xxhash.xxh64_intdigest((t or "").encode()) % folds for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fold, pa.int32()), pa.array([words_of(t) for t in texts], pa.list_(pa.string())), pa.array([stats_of(t) for t in texts], pa.list_(pa.float64()))], ["id", "fold", "words", "stats"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen.select("id")), "id", "left_semi")
-    rows = own.mapInArrow(tokens, "id long, words array<string>, stats array<double>").join(F.broadcast(chosen), "id")
-    from .common import cut
-
-    rows = cut(rows)
-    classes = [f"c{k}" for k in range(len(categories))]
-    totals = rows.agg(F.count(F.lit(1)), *[F.sum(c) for c in classes]).first()
-    n = totals[0]
-    counts = rows.select(F.explode("words").alias("word"), *classes).groupBy("word").agg(F.count(F.lit(1)).alias("df"), *[F.sum(c).alias(c) for c in classes]).where((F.col("df") >= min_docs) & (F.col("df") < n))
+    rows = cut(own.mapInArrow(tokens, "id long, fold int, words array<string>, stats array<double>").join(F.broadcast(chosen), "id"))
+
+    # counts of rows and of each class, in all and in each fold
+    def sums() -> list[Column]:
+        inside = [(f"_{f}", (F.col("fold") == f).cast("int")) for f in range(folds)] + [("", F.lit(1))]
+        return [F.sum(v * x).alias(f"{c}{end}") for end, v in inside for c, x in [("n", F.lit(1)), *[(c, F.col(c)) for c in classes]]]
+
+    totals = rows.agg(*sums()).first().asDict()
+    counts = cut(rows.select("fold", F.explode("words").alias("word"), *classes).groupBy("word").agg(*sums()).where(F.col("n") >= min_docs))
+    picks = []
+    for f in range(folds + 1):
+        there = lambda c: F.col(c) - F.col(f"{c}_{f}") if f < folds else F.col(c)  # noqa: B023, E731
+        total = {c: (totals[c] or 0) - (totals[f"{c}_{f}"] or 0 if f < folds else 0) for c in ("n", *classes)}  # noqa: B023
+        n = max(total["n"], 1)
+        for c in classes:
+            df, expected = there("n"), there("n") * (total[c] / n)
+            score = F.pow(there(c) - expected, F.lit(2)) / (expected * (1 - df / n) + 0.5)
+            # a fixed number of words, the model's size
+            picks.append(counts.where((df >= min_docs) & (df < n) & (score >= least_chi2)).orderBy(score.desc(), "word").limit(vocabulary).select(F.lit(f).alias("f"), "word"))
+    picked = functools.reduce(DataFrame.union, picks).distinct().collect()
     vocab: dict[str, int] = {}
-    for k, c in enumerate(classes):
-        pos = totals[k + 1] or 0
-        expected = F.col("df") * (pos / max(n, 1))
-        score = F.pow(F.col(c) - expected, F.lit(2)) / (expected * (1 - F.col("df") / F.lit(max(n, 1))) + 0.5)
-        # a fixed number of words, the model's size
-        for r in counts.where(score >= least_chi2).orderBy(score.desc(), "word").select("word").limit(vocabulary).collect():
-            vocab.setdefault(r["word"], len(vocab))
+    for r in sorted(picked, key=lambda r: (r["f"] != folds, r["word"])):  # the words of the model of all rows come first
+        vocab.setdefault(r["word"], len(vocab))
+    width = max(1, len(vocab))
+    use = np.zeros((folds + 1, width), bool)
+    for r in picked:
+        use[r["f"], vocab[r["word"]]] = True
     words = spark.createDataFrame(list(vocab.items()), "word string, f int") if vocab else spark.createDataFrame([], "word string, f int")
     found = rows.select("id", F.explode("words").alias("word")).join(F.broadcast(words), "word").groupBy("id").agg(F.sort_array(F.collect_set("f")).alias("f"))
-    data = rows.select("id", "stats", *classes).join(found, "id", "left").orderBy("id").collect()
+    data = rows.select("id", "fold", "stats", *classes).join(found, "id", "left").orderBy("id").collect()
     features = [np.array(r["f"] or [], np.int64) for r in data]
     stats = np.array([r["stats"] for r in data], float).reshape(len(data), STATS)
     y = np.array([[r[c] for c in classes] for r in data], int).reshape(len(data), len(classes))
-    import xxhash
-
-    fold = np.array([xxhash.xxh64_intdigest(str(r["id"])) % 5 for r in data], int)
-    chain = train_chain(features, stats, y, max(1, len(vocab)), fold)
-    return chain | {"vocab": vocab, "categories": categories, "rows": len(data)}
+    chain = train_chain(features, stats, y, width, np.array([r["fold"] for r in data], int), folds, use)
+    # only words of the model of all rows have weights in it
+    last = max(1, int(use[folds].sum()))
+    chain["models"] = [(w[:last], v, b) for w, v, b in chain["models"]]
+    return chain | {"vocab": {w: k for w, k in vocab.items() if use[folds, k]}, "categories": categories, "rows": len(data)}
 
 
 def score_chain(docs: DataFrame, chain: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,8 +220,9 @@ def score_chain(docs: DataFrame, chain: dict, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, schema).withColumnRenamed("id", id_col)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    chain = fit_chain(docs, labels, **options)
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Scores of all docs by a chain fitted on their labelled rows; ``options`` as of fit_chain."""
+    chain = fit_chain(docs, labels, id_col=id_col, text_col=text_col, **options)
     if not chain["rows"]:
         chain = chain | {"models": [(np.zeros(1), np.zeros(STATS + k), -30.0) for k in range(len(chain["categories"]))]}
-    return score_chain(docs, chain, *[options[k] for k in ("id_col", "text_col") if k in options])
+    return score_chain(docs, chain, id_col=id_col, text_col=text_col)
