@@ -1,7 +1,8 @@
-"""Exact deduplication by content sort.
+"""Exact deduplication by content sort; beyond their first 32 bytes, texts are ordered by digest and not by content.
 
 Texts are range-partitioned on (leading bytes, digest, id) with splitters that Spark samples from all rows and sorted
 externally inside each partition, so equal texts are adjacent and every text is compared in full with its neighbour.  The
+digest only orders texts with a common beginning, it never decides that they are equal.  The
 sampled keys are short, whatever the texts.  As the id is part of the key, a group of copies of any size is cut over as
 many partitions as its share of the rows asks for.  A run of
 equals that touches the edge of its partition may go on in the next one; only those runs, two for each partition at

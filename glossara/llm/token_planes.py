@@ -23,7 +23,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shared_dir
+from .common import full_path, scratch
 
 MAGIC = b"GPL1"
 
@@ -224,15 +223,16 @@ def encoder(path: str) -> Encoder:
 
 
 def _open(path: str):
+    """File system and path; a full path is one with a scheme."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path)
 
 
 def write_planes(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", mode: str = "byte", block_ids: int = 65_536) -> list:
     """Writes one file for each range of ids; returns the manifest, a row (part, path, n_docs, n_ids) for each file."""
     end = struct.pack("<I", end_id)
-    folder = folder if "://" in folder or not folder.startswith("file:") else "file://" + folder[5:]
+    folder = full_path(docs.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -307,6 +307,6 @@ def _batch(rows: list[tuple], digest: bool) -> pa.RecordBatch:
 def token_planes(docs: DataFrame, tokenizer: str, folder: str | None = None, digest: bool = False, **options) -> DataFrame:
     """Writes the files (to a new folder in the shared one, unless given) and reads them back."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/token-planes-{uuid.uuid4().hex}"
+    folder = folder or scratch(spark, "token-planes")
     manifest = write_planes(docs, tokenizer, folder, **options)
     return read_planes(spark, manifest, options.get("id_col", "doc_id"), digest)
