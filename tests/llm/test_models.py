@@ -128,6 +128,34 @@ def test_out_of_fold_predictions_do_not_see_their_rows():
     assert abs(np.corrcoef(chain["oof"][:, 0], y[:, 0])[0, 1]) < 0.6 < np.corrcoef(inside, y[:, 0])[0, 1]
 
 
+def test_vocabulary_is_chosen_inside_folds():
+    """Features that only the held-out rows would pick get no weight in that fold's model."""
+    rng = np.random.default_rng(1)
+    features, y = [np.array([k % 2]) for k in range(60)], np.array([[k % 2] for k in range(60)])
+    use = np.ones((6, 2), bool)
+    use[:5] = False
+    chain = T.train_chain(features, rng.normal(size=(60, 1)) * 0, y, 2, np.arange(60) % 5, 5, use)
+    assert np.ptp(chain["oof"][:, 0]) < 0.2 and chain["f1"][0] < 0.9
+    inside = T.proba(chain["models"][0], T.Rows(features, np.zeros((60, 1)), 2))
+    assert ((inside > 0.5) == y[:, 0]).all()
+
+
+def test_toxicity_with_other_column_names(spark):
+    rows = chain_rows(300, 3)
+    docs = spark.createDataFrame([(9, r[0], r[1], "x", 1.0) for r in rows], "doc_id int, key long, body string, toxic string, id double")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "key long, quality int, toxic int")
+    got = {r.key: r.toxic for r in toxicity(docs, labels, id_col="key", text_col="body").collect()}
+    assert sum(got[r[0]] == bool(r[3]) for r in rows) > 0.9 * len(rows)
+
+
+def test_copies_share_a_fold(spark):
+    rows = chain_rows(200, 4)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000 + r[0], r[1]) for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows] + [(1000 + r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    oof = fit_chain(docs, labels)["oof"]
+    assert np.allclose(oof[:200], oof[200:])
+
+
 def test_toxicity_of_hard_rows(spark, hard, hard_rows, none):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, None), (7, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity(hard, labels).collect()
