@@ -11,7 +11,7 @@ import xxhash
 from glossara.llm.components import components
 from glossara.llm.exact_dedup import exact_dedup
 from glossara.llm.simhash import fingerprint, links, masks, near_duplicates
-from glossara.llm.substring_dedup import substring_dedup
+from glossara.llm.substring_dedup import _later, levels, substring_dedup
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
@@ -64,9 +64,9 @@ def brute_substrings(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("window", [2, 5, 13])
-def test_substrings(hard, hard_rows, window):
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(hard, window).collect())
+@pytest.mark.parametrize("window, first", [(2, None), (5, None), (13, None), (13, 2), (13, 13), (8, 1)])
+def test_substrings(hard, hard_rows, window, first):
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(hard, window, first=first).collect())
     assert got == brute_substrings([r[:2] for r in hard_rows], window)
 
 
@@ -78,6 +78,25 @@ def test_substrings_many_repeats(spark):
     assert got == brute_substrings(rows, 13)
 
 
+def test_levels():
+    assert levels(13) == [7, 13] and levels(13, 2) == [2, 4, 8, 13] and levels(8, 1) == [1, 2, 4, 8] and levels(2) == [1, 2] and levels(5, 5) == [5]
+
+
+def test_windows_equal_in_64_bits_are_told_apart():
+    """Two windows with one first hash and other second ones, and a real repeat."""
+    part = lambda ids, one, two: bytes([4]) + np.array(one, np.uint64).tobytes() + np.array(two, np.uint64).tobytes() + np.array(ids, np.uint32).tobytes()
+    bits = _later([part([3, 1], [7, 9], [70, 90]), part([2, 2], [7, 9], [71, 90])])
+    assert [np.unpackbits(np.frombuffer(x, np.uint8))[:2].tolist() for x in bits] == [[0, 0], [0, 1]]
+
+
+def test_substrings_without_ids(spark):
+    """Rows without an id are dealt by their text; they are one document, after all others."""
+    words = [f"w{k}" for k in range(40)]
+    rows = [(None, " ".join(words[k : k + 20])) for k in range(20)] + [(5, " ".join(words[3:18]))]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_substrings(rows, 13)
+
+
 def slow_fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:
