@@ -30,12 +30,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-def op3_token_planes(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    if tokenizer is None:
-        import public_tokenizers
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
 
-        tokenizer = public_tokenizers.path(TOKENIZER)
-    return token_planes(table(spark, sf_dir, "documents"), str(tokenizer), digest=True)
+
+def op3_token_planes(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return token_planes(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path(), digest=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +52,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """A row for each sequence; a digest stands for its ids."""
+    sequences = pack(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
+    return sequences.withColumn("ids_sha256", F.sha2(F.array_join("ids", ",").cast("binary"), 256)).drop("ids")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
