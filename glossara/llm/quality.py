@@ -30,12 +30,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE_PATTERN, cut, lookup
+from .common import LOOKUP_ROWS, SPACE_PATTERN, cut, lookup
 
 SYMBOLS = "[#*$%&|<>]"
 #: Log words, log word length, log symbols and log repeated lines for 100 words, arc sine of the root of the repeated share.
 DIMS = 5
 STARTS = 3
+#: Vectors that a task of an estimation step reads.
+ROWS_A_TASK = 250_000
 #: The determinant's logarithm falls by more than this, or a start has settled.
 LEAST_FALL = 1e-9
 
@@ -161,6 +163,11 @@ def _distance(rows: DataFrame, estimate: DataFrame, n: int, how: str = "inner",
     return made.select(*rows.columns, *also, sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIMS)), F.col("z0") * F.col("z0")).alias("d2"))
 
 
+def _small(estimates: DataFrame, n: int) -> DataFrame:
+    """Estimates of n groups, broadcast where a counted table of that size may be."""
+    return F.broadcast(estimates) if STARTS * n <= LOOKUP_ROWS else estimates
+
+
 def resolutions() -> list[Column]:
     """Squared resolution of each statistic at the medians m0, m1 of log words and log word length."""
     n = F.expm1("m0")
@@ -187,8 +194,8 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
     sums = turned.groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(_q(i)).alias(f"s{i}") for i in range(DIMS)], *[F.sum(F.col(_q(i)) * F.col(_q(j))).alias(f"s{i}_{j}") for i, j in _PAIRS],
         *[F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"t{i}_{j}") for i, j in _PAIRS])
-    plain = sums.join(first.select("grp", "n_all", *_R), "grp").select("grp", "n_all", *_R, *_scatter(1.0))
-    signs = sums.select("grp", "n", *[f"t{i}_{j}" for i, j in _PAIRS]).join(spread, "grp").withColumn("n_all", F.col("n"))
+    plain = sums.join(_small(first.select("grp", "n_all", *_R), n), "grp").select("grp", "n_all", *_R, *_scatter(1.0))
+    signs = sums.select("grp", "n", *[f"t{i}_{j}" for i, j in _PAIRS]).join(_small(spread, n), "grp").withColumn("n_all", F.col("n"))
     signs = signs.select("grp", "n_all", *_R, *[f"m{i}" for i in range(DIMS)], *[(F.col(f"t{i}_{j}") / F.col("n") * (DIMS / 1e6) * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}_{j}") for i, j in _PAIRS])
     names = ["grp", "n_all", *_R, *[f"m{i}" for i in range(DIMS)], *[f"c{i}_{j}" for i, j in _PAIRS]]
     every = functools.reduce(DataFrame.union, [x.select(F.lit(k).alias("start"), *names) for k, x in enumerate((first, plain, signs))])
@@ -205,19 +212,20 @@ def fit(rows: DataFrame, support: float = 0.75, max_steps: int = 50) -> tuple[Da
         live = state.where("moved")
         ranked = _distance(rows, live.select("grp", "start", *_MEAN_FACTOR), STARTS * n, "inner", "start").withColumn("step", F.floor(64 * F.log1p("d2")).cast("int"))
         counted = _moments(ranked, "grp", "start", "step").withColumn("upto", F.sum("n").over(up_to))
-        whole = state.select(*[F.col(c).alias(c if c in ("grp", "start", "n_all", "moved", *_R) else f"old_{c}") for c in state.columns])
-        subset = counted.join(live.select("grp", "start", "n_all"), ["grp", "start"]).where(F.col("upto") - F.col("n") < support * F.col("n_all")).groupBy("grp", "start").agg(*_sums())
-        tried = _factored(subset.join(whole.select("grp", "start", *_R), ["grp", "start"]).select("grp", "start", *_R, *_scatter(consistent)), "grp", "start").drop(*_R)
-        both = whole.drop("moved").join(tried, ["grp", "start"], "left").withColumn("moved", F.coalesce(F.col("logdet") < F.col("old_logdet") - LEAST_FALL, F.lit(False)))
+        was = _small(live.select("grp", "start", F.struct("n_all", *_R, *_MEAN_FACTOR).alias("was")), n)
+        subset = counted.join(was, ["grp", "start"]).where(F.col("upto") - F.col("n") < support * F.col("was.n_all")).groupBy("grp", "start").agg(F.any_value("was").alias("was"), *_sums())
+        tried = _factored(subset.select("grp", "start", "was", *[F.col(f"was.{r}") for r in _R], *_scatter(consistent)), "grp", "start", "was")
+        fell = F.col("logdet") < F.col("was.logdet") - LEAST_FALL
+        now = tried.select("grp", "start", "was.n_all", *_R, *[F.when(fell, F.col(c)).otherwise(F.col(f"was.{c}")).alias(c) for c in _MEAN_FACTOR], fell.alias("moved"))
         # a row for each group and start, written after each step: one plan of all steps would be very large
-        state = cut(both.select("grp", "start", "n_all", *_R, *[F.when(F.col("moved"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in _MEAN_FACTOR], "moved").coalesce(8))
+        state = cut(now.union(state.where("not moved").select(*now.columns)).coalesce(8))
         if not state.where("moved").limit(1).count():
             break
     best = state.groupBy("grp").agg(F.min_by(F.struct("n_all", *_R, *_MEAN_FACTOR), F.struct("logdet", "start")).alias("x")).select("grp", "x.*")
     best = cut(best.coalesce(8))
     inner = 0.975
     kept = _distance(rows, best.select("grp", *_MEAN_FACTOR), n).where(F.col("d2") <= chi2_quantile(inner, DIMS))
-    final = _moments(kept, "grp").join(best.select("grp", "n_all", *_R), "grp").select("grp", "n_all", *_R, *_scatter(inner / chi2_cdf(chi2_quantile(inner, DIMS), DIMS + 2)))
+    final = _moments(kept, "grp").join(_small(best.select("grp", "n_all", *_R), n), "grp").select("grp", "n_all", *_R, *_scatter(inner / chi2_cdf(chi2_quantile(inner, DIMS), DIMS + 2)))
     return cut(_factored(final, "grp", "n_all").coalesce(8)), n
 
 
@@ -229,10 +237,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by:
     sizes = rows.where("not base_failed").groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("n1"))
     rest = F.sum(F.when(F.col("n1") < min_group, F.col("n1"))).over(Window.partitionBy("g0"))
     named = F.when(F.col("n1") >= min_group, F.col("g1")).when(F.col("n0") >= min_group, F.col("g0")).otherwise(F.lit(""))
+    sizes = cut(sizes.coalesce(8))
     names = cut(sizes.withColumn("n0", rest).select("g1", F.xxhash64(named).alias("grp")).coalesce(8))
     rows = lookup(rows, names, "g1", "left").drop("g0", "g1")
-    vectors = cut(rows.where("not base_failed").select("grp", *[_q(i) for i in range(DIMS)]))
-    estimate, n = fit(vectors, support)
+    vectors = rows.where("not base_failed").select("grp", *[_q(i) for i in range(DIMS)])
+    # some 50 bytes a row, so a task of each step takes many
+    total = sizes.agg(F.sum("n1")).first()[0] or 0
+    estimate, n = fit(cut(vectors.coalesce(max(8, total // ROWS_A_TASK))), support)
     judged = _distance(rows, estimate.where(F.col("n_all") >= min_group).select("grp", *_MEAN_FACTOR), n, "left")
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
