@@ -75,7 +75,10 @@ DOMAIN_CONTEXTS = {
 }
 
 # Words that term extraction leaves out.
-COMMON_WORDS = ["the", "and", "that", "have", "with", "this", "from", "they", "you", "what", "which", "their", "will", "would", "make", "when", "more", "other", "about", "some", "then", "than"]
+COMMON_WORDS = ["the", "and", "that", "have", "this", "with", "from", "they", "you", "what", "which", "their", "will", "would", "make", "when", "more", "other", "about", "some", "then", "than"]
+
+# Words with a known place in an emotional dimension.
+REFERENCE_WORDS = [("happy", "valence", 0.8), ("sad", "valence", -0.8), ("angry", "arousal", 0.9), ("calm", "arousal", -0.7), ("powerful", "dominance", 0.9), ("weak", "dominance", -0.8), ("certain", "certainty", 0.9), ("uncertain", "certainty", -0.8), ("important", "relevance", 0.9), ("trivial", "relevance", -0.7), ("novel", "novelty", 0.9), ("familiar", "novelty", -0.7), ("responsible", "agency", 0.8), ("helpless", "agency", -0.8), ("connected", "social", 0.9), ("isolated", "social", -0.9), ("future", "temporal", 0.7), ("past", "temporal", -0.7)]
 
 # Affixes of derived terms.
 SUFFIXES = ["ing", "ed", "er", "ion", "ity", "ment", "ness", "ly"]

@@ -9,6 +9,8 @@ from graphlib import TopologicalSorter
 
 from .errors import InvalidInputError, NotFoundError
 
+# Names and defaults of the settings.
+
 
 @dataclasses.dataclass(frozen=True)
 class GraphConfig:

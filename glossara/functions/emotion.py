@@ -223,3 +223,9 @@ def contextual_variations(m: Column) -> Column:
         _state("social", _shift(muted, {"social": 0.6}), 0.7),
         _state("cultural", _shift(m, {"intensity": -0.2, "certainty": -0.3}), 0.6),
     )
+
+
+def random_emotion(id_: Column, seed: int = 7) -> list[Column]:
+    """Valence in [-1, 1) and arousal in [0, 1) that follow from the id and the seed alone."""
+    unit = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", id_.cast("string"), F.lit(str(seed)), F.lit(k)).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
+    return [(unit("valence") * 2 - 1).alias("valence"), unit("arousal").alias("arousal")]

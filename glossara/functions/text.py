@@ -117,3 +117,22 @@ def affix_terms(term: Column) -> Column:
 
 def json_part(text: Column) -> Column:
     return F.regexp_extract(text, "(?s)(\\{.*\\})", 1)
+
+
+def truthy(text: Column) -> Column:
+    """Whether a setting's text stands for true."""
+    return F.lower(F.trim(text)).isin("true", "yes", "1", "y")
+
+
+#: What takes the place of SQLite's automatic key.
+KEYS = {"postgres": "SERIAL PRIMARY KEY", "mysql": "INT AUTO_INCREMENT PRIMARY KEY"}
+
+
+def ddl_dialect(ddl: Column, dialect: str) -> Column:
+    return F.replace(ddl, F.lit("INTEGER PRIMARY KEY"), F.lit(KEYS[dialect]))
+
+
+def connection_uri(path: Column, options: Column) -> Column:
+    """file:<path>?<key>=<value>&..., by key; without options the path alone."""
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&")
+    return F.concat(F.lit("file:"), path, F.when(pairs != "", F.concat(F.lit("?"), pairs)).otherwise(F.lit("")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import AFFECTIVE_COLORS, BASE_COLORS, DEFAULT_BIDIRECTIONAL, DEFAULT_COLOR, DEFAULT_WEIGHT, EMOTIONAL_COLORS
+from ..scratch import fixed
+from .numbering import numbered
 
 META_TYPES = ["meta_emotion", "evokes", "responds_to", "intensifies", "diminishes", "emotional_component"]
 
@@ -101,24 +103,17 @@ def k_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     if depth < 0:
         raise ValueError("depth must not be negative")
     adj = adjacency(edges).select("a", "b")
+    adj = fixed(adj) if depth > 1 else adj
     seen = frontier = start.select(F.col("id").cast("long"), F.lit(0).alias("hops")).distinct()
     for hop in range(1, depth + 1):
         reached = frontier.join(adj, frontier["id"] == adj["a"]).select(F.col("b").alias("id")).distinct()
         frontier = reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops"))
         if hop < depth:
-            frontier = _checkpoint(frontier)
+            frontier = fixed(frontier)
         seen = seen.union(frontier)
     return seen
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder where the session names one; otherwise leave the plan as it is."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df
-
-
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     keep = ids.select("id")
     return edges.join(keep.withColumnRenamed("id", "u"), "u", "left_semi").join(keep.withColumnRenamed("id", "v"), "v", "left_semi")
@@ -126,6 +121,7 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def emotional_subgraph(edges: DataFrame, start: DataFrame, depth: int, types: list[str] | None = None, least: float = 0.0) -> DataFrame:
     """Emotional edges of the k-hop subgraph with a weight of ``least`` or more."""
+    edges = fixed(edges)
     rows = induced(edges, k_hop(edges, start, depth)).where(F.col("dimension") == "emotional").where(F.coalesce("weight", F.lit(0.0)) >= least)
     return rows if types is None else rows.where(F.col("relationship").isin(types))
 
@@ -133,7 +129,7 @@ def emotional_subgraph(edges: DataFrame, start: DataFrame, depth: int, types: li
 def emotional_subgraph_legacy(edges: DataFrame, start: DataFrame, depth: int, types: list[str] | None = None, least: float = 0.0, factors: dict[str, float] | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Breadth-first through qualifying emotional edges only; weights grow with the largest factor named in type or terms."""
     own = edges.where("dimension = 'emotional'").where(F.col("weight") >= least)
-    own = own if types is None else own.where(F.col("relationship").isin(types))
+    own = fixed(own if types is None else own.where(F.col("relationship").isin(types)))
     sub = induced(own, k_hop(own, start, depth))
     if factors:
         sub = ends(sub, nodes, ("term",))
@@ -155,14 +151,16 @@ def apply_context(edges: DataFrame, nodes: DataFrame, factors: dict[str, float])
 def transitions(edges: DataFrame, nodes: DataFrame, length: int = 2, least: float = 0.1) -> DataFrame:
     """Simple paths of up to ``length`` emotional edges, both directions, with the product of weights of ``least`` or more.
 
-    Weights are at most 1, so a prefix below the limit is dropped before the next join.
+    Where no weight is above 1, a prefix below the limit is dropped before the next join.
     """
-    adj = adjacency(edges.where("dimension = 'emotional'")).select("a", "b", F.coalesce("weight", F.lit(0.1)).alias("w"))
-    level = adj.where(F.col("w") >= least).select(F.col("a").alias("start"), F.col("b").alias("end"), F.array("a", "b").alias("path"), F.col("w").alias("strength"))
+    adj = fixed(adjacency(edges.where("dimension = 'emotional'")).select("a", "b", F.coalesce("weight", F.lit(0.1)).alias("w")))
+    prune = F.lit(bool(adj.where("w > 1").limit(1).count())) | (F.col("strength") >= least)
+    level = adj.withColumn("strength", F.col("w")).where(prune).select(F.col("a").alias("start"), F.col("b").alias("end"), F.array("a", "b").alias("path"), F.col("w").alias("strength"))
     out = level
     for _ in range(length - 1):
-        level = level.join(adj, level["end"] == adj["a"]).where(~F.array_contains("path", F.col("b"))).select("start", F.col("b").alias("end"), F.concat("path", F.array("b")).alias("path"), (F.col("strength") * F.col("w")).alias("strength")).where(F.col("strength") >= least)
+        level = level.join(adj, level["end"] == adj["a"]).where(~F.array_contains("path", F.col("b"))).select("start", F.col("b").alias("end"), F.concat("path", F.array("b")).alias("path"), (F.col("strength") * F.col("w")).alias("strength")).where(prune)
         out = out.union(level)
+    out = out.where(F.col("strength") >= least)
     value = lambda k: nodes.select(F.col("id").alias(k), F.coalesce("valence", F.lit(0.0)).alias(f"{k}_valence"))
     return out.join(value("start"), "start").join(value("end"), "end").withColumn("valence_shift", F.col("end_valence") - F.col("start_valence"))
 
@@ -231,19 +229,12 @@ def edge_style(kind: Column, bidirectional: Column) -> list[Column]:
     return [F.when(kind == "emotional", "dashed").when(kind == "affective", "dotted").otherwise("solid").alias("style"), (~bidirectional).alias("arrow")]
 
 
-def circular_layout(nodes: DataFrame, buckets: int = 64) -> DataFrame:
-    """Positions on the unit circle in the order of ids.
-
-    The rank is counted in ranges of ids, so that no task numbers all rows.
-    """
-    span = nodes.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("all"))
-    part = F.floor((F.col("id") - F.col("low")) * buckets / (F.col("high") - F.col("low") + 1)).cast("int")
-    rows = nodes.select("id").crossJoin(F.broadcast(span)).withColumn("part", part)  # one row is broadcast
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each part
-    rank = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
-    angle = 2 * F.pi() * rank / F.col("all")
-    return rows.join(F.broadcast(starts), "part").select("id", F.cos(angle).alias("x"), F.sin(angle).alias("y"))
+def circular_layout(nodes: DataFrame) -> DataFrame:
+    """Positions on the unit circle in the order of ids."""
+    every = nodes.agg(F.count(F.lit(1)).alias("all"))  # one row is broadcast
+    rows = numbered(nodes.select("id"), "id").crossJoin(F.broadcast(every))
+    angle = 2 * F.pi() * F.col("place") / F.col("all")
+    return rows.select("id", F.cos(angle).alias("x"), F.sin(angle).alias("y"))
 
 
 def neighbour_means(new: DataFrame, edges: DataFrame, positions: DataFrame) -> DataFrame:

@@ -83,12 +83,12 @@ def discovery(frontier: DataFrame, related: DataFrame, depth: int, cap: int | No
 
     ``cap``: largest number of new words for each round, in order of text; a limit of the operator, none by default.
     """
-    from .graph import _checkpoint
+    from ..scratch import fixed
 
     seen = now = frontier.select("word").distinct().withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         new = now.join(related, "word").select(F.lower(F.trim("other")).alias("word")).where("word <> ''").distinct().join(seen.select("word"), "word", "left_anti")
         new = (new.orderBy("word").limit(cap) if cap else new).withColumn("depth", F.lit(d))
-        now = _checkpoint(new) if d < depth else new
+        now = fixed(new) if d < depth else new
         seen = seen.union(now)
     return seen

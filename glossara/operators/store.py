@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import examples
+from .numbering import numbered
 
 
 def all_words(words: DataFrame) -> DataFrame:
@@ -34,18 +35,11 @@ def upsert_words(words: DataFrame, new: DataFrame, order: str = "last_refreshed"
 
 
 def add_terms(words: DataFrame, terms: DataFrame, lower: bool = True) -> DataFrame:
-    """(id, term) of the terms that words does not have: ids after the largest, in the order of the terms.
-
-    Numbers are counted in ranges of terms, so that no task numbers them all.
-    """
+    """(id, term) of the terms that words does not have: ids after the largest, in the order of the terms."""
     k = F.lower("term") if lower else F.col("term")
     fresh = terms.distinct().join(words.select(k.alias("__k")), k == F.col("__k"), "left_anti")
-    rows = fresh.withColumn("part", F.substring("term", 1, 3))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each beginning
-    top = words.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("term"))
-    return rows.join(starts, "part").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("start") + place).alias("id"), "term")
+    top = words.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row is broadcast
+    return numbered(fresh, "term").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("place") + 1).alias("id"), "term")
 
 
 def insert_relationships(relationships: DataFrame, words: DataFrame, new: DataFrame) -> DataFrame:

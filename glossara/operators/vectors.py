@@ -27,14 +27,22 @@ def original_id(item: Column) -> Column:
     return F.split_part(item, F.lit("_"), F.lit(2)).try_cast("long")
 
 
-def upsert(items_: DataFrame, new: DataFrame, dim: int) -> DataFrame:
-    """Items replaced by id; vectors must have ``dim`` values."""
+def upsert(items_: DataFrame, new: DataFrame, dim: int, order: str | None = None) -> DataFrame:
+    """Items replaced by id; vectors must have ``dim`` values.
+
+    Of several new rows of one id the one with the largest ``order`` counts (without it, the largest by its columns).
+    Items without an id are neither replaced nor merged.
+    """
     sized = new.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.lit(f"dimension is not {dim}"))))
-    return items_.join(sized.select("id"), "id", "left_anti").unionByName(sized)
+    rest = [c for c in sized.columns if c not in ("id", order)]
+    one = sized.where("id is not null").groupBy("id").agg(F.max(F.struct(*([order] if order else []), *rest)).alias("x")).select("id", *[F.col(f"x.{c}").alias(c) for c in sized.columns if c != "id"])
+    one = one.select(*sized.columns).unionByName(sized.where("id is null")).select(*[c for c in sized.columns if c in items_.columns])
+    return items_.join(one.select("id"), "id", "left_anti").unionByName(one)
 
 
 def delete(items_: DataFrame, original: int) -> DataFrame:
-    return items_.where(F.col("original_id") != original)
+    """Items but those of one word; items without an original id stay."""
+    return items_.where(~F.col("original_id").eqNullSafe(F.lit(original)))
 
 
 def _sum(a: Column, b: Column, f) -> Column:
@@ -109,9 +117,13 @@ def _let(value: Column, f) -> Column:
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """Deterministic stand-in for a model: signed counts of character trigrams, of unit length."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.xxhash64(F.lower(F.substr(text, i, F.lit(3)))))
-    sign = lambda g: F.when(F.pmod(F.shiftright(g, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    """Deterministic stand-in for a model: signed counts of character trigrams, of unit length.
+
+    The first 32 bits of a trigram's MD5 give its place (modulo dim) and its sign (the top bit).
+    """
+    code = lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("long")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: code(F.lower(F.substr(text, i, F.lit(3)))))
+    sign = lambda g: F.when(g < 2**31, 1.0).otherwise(-1.0)
     counts = lambda gs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(gs, F.lit(0.0), lambda s, g: s + F.when(F.pmod(g, F.lit(dim)) == d, sign(g)).otherwise(0.0)))
     norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x))
     return _let(grams, lambda gs: _let(counts(gs), lambda r: _let(norm(r), lambda n: F.transform(r, lambda x: (x / F.greatest(n, F.lit(1e-9))).cast("float")))))

@@ -104,3 +104,18 @@ def history(messages: DataFrame, n: int = 20) -> DataFrame:
 
 def stale(tasks: DataFrame, now: float, timeout: float) -> DataFrame:
     return tasks.where(F.lit(now) - F.col("started") > timeout)
+
+
+#: State of a worker by what it has last seen.
+STATES = {"view": "INITIALIZED", "click": "RUNNING", "signup": "PAUSED", "purchase": "STOPPING"}
+#: Seconds after which a job of the store is due.
+INTERVALS = {"maintenance": 3600, "backup": 86400, "optimise": 43200}
+
+
+def state(event: Column, states: dict[str, str] = STATES, other: str = "STOPPED") -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in states.items() for x in pair]), event), F.lit(other))
+
+
+def due(elapsed: Column, intervals: dict[str, int] = INTERVALS) -> list[Column]:
+    """A flag for each job whose interval has passed."""
+    return [(elapsed >= seconds).alias(job) for job, seconds in intervals.items()]
