@@ -7,6 +7,8 @@ from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..errors import InvalidInputError
+
 
 def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, id, line): the element of each node and edge, made by executors."""
@@ -72,5 +74,26 @@ def analyze(spark: SparkSession, table: str) -> None:
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
 
 
+def statistics(df: DataFrame) -> DataFrame:
+    """(column, n, nulls, least, most) of each column, in one pass; what ANALYZE keeps of a table."""
+    text = lambda c: c.cast("string")
+    one = [F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n"), F.sum(F.col(c).isNull().cast("long")).alias("nulls"), text(F.min(c)).alias("least"), text(F.max(c)).alias("most")) for c in df.columns]
+    return df.agg(F.array(*one).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+GRAPH_FORMATS = ("gexf", "json", "parquet")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, form: str) -> None:
+    """Nodes and edges as part files in a folder each, in one of GRAPH_FORMATS."""
+    if form not in GRAPH_FORMATS:
+        raise InvalidInputError(f"unknown graph format {form!r}; there are {', '.join(GRAPH_FORMATS)}")
+    if form == "gexf":
+        write_gexf_parts(nodes, edges, folder)
+        return
+    for df, name in ((nodes, "nodes"), (edges, "edges")):
+        df.write.format(form).save(f"{folder}/{name}")
+
+
 def config_json(config: dict) -> str:
     return json.dumps(config, indent=2, sort_keys=True, default=str)
