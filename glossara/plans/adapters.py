@@ -118,17 +118,17 @@ types(type, weight, color, bidirectional) AS (VALUES {_types_sql()}),
 hashed AS (SELECT id, term, CAST(CAST(concat('0x', md5(term)) AS UHUGEINT) % 1000000 AS BIGINT) AS h FROM words),
 emotions AS (SELECT id, term, {_heuristic_sql()} FROM hashed),
 word_emotion AS (SELECT id AS word_id, valence, greatest(0, least(1, arousal)) AS arousal, id::DOUBLE AS timestamp FROM emotions WHERE id % 3 <> 0),
-nodes AS (SELECT w.id, w.term, e.valence, e.arousal FROM words w LEFT JOIN word_emotion e ON e.word_id = w.id),
-resolved AS (SELECT r.id AS rel_id, r.word_id AS src_id, d.id AS dst_id, r.relationship_type FROM relationships r JOIN words s ON s.id = r.word_id JOIN words d ON lower(d.term) = lower(r.related_term) WHERE r.word_id <> d.id),
+nodes AS MATERIALIZED (SELECT w.id, w.term, e.valence, e.arousal FROM words w LEFT JOIN word_emotion e ON e.word_id = w.id),
+resolved AS MATERIALIZED (SELECT r.id AS rel_id, r.word_id AS src_id, d.id AS dst_id, r.relationship_type FROM relationships r JOIN words s ON s.id = r.word_id JOIN words d ON lower(d.term) = lower(r.related_term) WHERE r.word_id <> d.id),
 decorated AS (
   SELECT rel_id, src_id, dst_id, relationship_type AS relationship, coalesce(weight, 0.3::DOUBLE) AS weight, coalesce(color, '#aaaaaa') AS color, coalesce(bidirectional, true) AS bidirectional,
     CASE WHEN regexp_matches(lower(relationship_type), '^(emotional_|evokes|responds_to|valence_|arousal_|meta_emotion|intensifies|diminishes)') THEN 'emotional'
          WHEN regexp_matches(lower(relationship_type), '^(positive_|negative_|high_|low_)') THEN 'affective' ELSE 'lexical' END AS dimension
   FROM resolved LEFT JOIN types ON type = lower(relationship_type)),
-edges AS (
+edges AS MATERIALIZED (
   SELECT least(src_id, dst_id) AS u, greatest(src_id, dst_id) AS v, rel_id, src_id, dst_id, relationship, weight, color, bidirectional, dimension FROM decorated
   QUALIFY row_number() OVER (PARTITION BY least(src_id, dst_id), greatest(src_id, dst_id) ORDER BY rel_id DESC) = 1),
-adj AS (SELECT u AS a, v AS b, relationship, weight, dimension FROM edges UNION ALL SELECT v, u, relationship, weight, dimension FROM edges),
+adj AS MATERIALIZED (SELECT u AS a, v AS b, relationship, weight, dimension FROM edges UNION ALL SELECT v, u, relationship, weight, dimension FROM edges),
 pairs AS (SELECT e.*, a.valence AS v1, a.arousal AS a1, CASE WHEN u % 4 <> 0 THEN a.dominance END AS d1, b.valence AS v2, b.arousal AS a2, CASE WHEN v % 4 <> 0 THEN b.dominance END AS d2 FROM edges e JOIN emotions a ON a.id = e.u JOIN emotions b ON b.id = e.v),
 messages AS (SELECT conv_id * 1000 + turn AS id, conv_id AS conversation_id, role AS speaker, text, turn::DOUBLE AS timestamp FROM conversations),
 queue AS (SELECT event_id AS seq, concat(' ', upper(event_type[1]), event_type[2:], ':', user_id) AS item, CASE WHEN event_type = 'error' THEN 'HIGH' WHEN event_type IN ('purchase', 'signup') THEN 'NORMAL' ELSE 'LOW' END AS priority, ts, value, event_type, user_id FROM events),

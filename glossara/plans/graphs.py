@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import AFFECTIVE_COLORS, BASE_COLORS, EMOTIONAL_COLORS
 from ..operators import graph, stats
+from ..scratch import fixed
 from .registry import query
 
 START = "small ring 0"
@@ -22,16 +23,17 @@ def _start(v, *ids):
 
 
 def hops_sql(depth: int, edges: str = "adj") -> str:
-    parts = ["h0 AS (SELECT id FROM nodes WHERE id = 0)"]
+    # each step stands once: without MATERIALIZED DuckDB puts it in wherever it is named
+    parts = ["h0 AS MATERIALIZED (SELECT id FROM nodes WHERE id = 0)"]
     for k in range(1, depth + 1):
-        parts.append(f"h{k} AS (SELECT id FROM h{k - 1} UNION SELECT b FROM {edges} JOIN h{k - 1} ON a = id)")
+        parts.append(f"h{k} AS MATERIALIZED (SELECT id FROM h{k - 1} UNION SELECT b FROM {edges} JOIN h{k - 1} ON a = id)")
     return ", ".join(parts)
 
 
 query("s02_graph_scan_words", "SELECT id, term FROM words WHERE id IS NOT NULL AND term IS NOT NULL")(lambda v: graph.scan_words(v.words))
 query("s03_graph_scan_relationships", "SELECT * FROM relationships WHERE word_id IS NOT NULL AND related_term IS NOT NULL AND relationship_type IS NOT NULL")(lambda v: graph.scan_relationships(v.relationships))
 query("j04_edge_resolution", "SELECT rel_id, src_id, dst_id, relationship_type FROM resolved")(lambda v: v.resolved)
-query("g01_build_graph", "SELECT u, v, relationship, weight, color, bidirectional, dimension, concat(relationship, ': ', s.term, CASE WHEN bidirectional THEN ' ↔ ' ELSE ' → ' END, d.term) AS title FROM edges JOIN nodes s ON s.id = src_id JOIN nodes d ON d.id = dst_id")(lambda v: graph.title(v.edges, v.nodes).select(*EDGE, "title"))
+query("g01_build_graph", "SELECT u, v, relationship, weight, color, bidirectional, dimension, concat(relationship, ': ', s.term, CASE WHEN bidirectional THEN ' ↔ ' ELSE ' → ' END, d.term) AS title FROM edges JOIN nodes s ON s.id = src_id JOIN nodes d ON d.id = dst_id")(lambda v: graph.title(v.edges, graph.scan_words(v.words)).select(*EDGE, "title"))
 
 
 @query("g02_incremental_update", """SELECT least(src_id, dst_id) AS u, greatest(src_id, dst_id) AS v, relationship, weight FROM decorated d
@@ -57,13 +59,13 @@ def _(v):
 
 
 query("g05_related_terms", f"SELECT DISTINCT n.term, relationship FROM adj JOIN nodes n ON n.id = b WHERE a IN (SELECT id FROM nodes WHERE lower(term) = '{START}')")(lambda v: graph.related_terms(v.edges, v.nodes, START.upper()))
-query("g05_related_terms_typed", f"SELECT DISTINCT n.term, relationship FROM adj JOIN nodes n ON n.id = b WHERE lower(relationship) = 'antonym' AND a IN (SELECT id FROM nodes WHERE lower(term) = '{START}')")(lambda v: graph.related_terms(v.edges, v.nodes, START, "ANTONYM"))
+query("g05_related_terms_typed", f"SELECT DISTINCT n.term, relationship FROM adj JOIN nodes n ON n.id = b WHERE lower(relationship) = 'custom_link' AND a IN (SELECT id FROM nodes WHERE lower(term) = '{START}')")(lambda v: graph.related_terms(v.edges, v.nodes, START, "CUSTOM_LINK"))
 query("g06_k_hop_nodes", f", {hops_sql(2)} SELECT id FROM h2")(lambda v: graph.k_hop(v.edges, _start(v), 2).select("id"))
-query("g06_k_hop", f", {hops_sql(2)} SELECT u, v, relationship FROM edges WHERE u IN (SELECT id FROM h2) AND v IN (SELECT id FROM h2)")(lambda v: graph.induced(v.edges, graph.k_hop(v.edges, _start(v), 2)).select("u", "v", "relationship"))
+query("g06_k_hop", f", {hops_sql(2)} SELECT u, v, relationship FROM edges WHERE u IN (SELECT id FROM h2) AND v IN (SELECT id FROM h2)")(lambda v: (lambda e: graph.induced(e, graph.k_hop(e, _start(v), 2)))(fixed(v.edges.select("u", "v", "relationship"))))
 query("g07_emotional_subgraph", f", {hops_sql(2)} SELECT u, v, relationship, weight FROM edges WHERE u IN (SELECT id FROM h2) AND v IN (SELECT id FROM h2) AND dimension = 'emotional' AND weight >= 0.6")(lambda v: graph.emotional_subgraph(v.edges, _start(v), 2, least=0.6).select("u", "v", "relationship", "weight"))
 
 
-@query("g07l_emotional_subgraph_legacy", f""", emo AS (SELECT a, b FROM adj WHERE dimension = 'emotional' AND weight >= 0.6), {hops_sql(3, "emo")}
+@query("g07l_emotional_subgraph_legacy", f""", emo AS MATERIALIZED (SELECT a, b FROM adj WHERE dimension = 'emotional' AND weight >= 0.6), {hops_sql(3, "emo")}
 SELECT e.u, e.v, round(weight * (1 + rel), 6) AS weight, weight AS original_weight, rel AS context_relevance FROM (
   SELECT u, v, weight, CASE WHEN relationship LIKE '%evok%' OR a.term LIKE '%evok%' OR b.term LIKE '%evok%' THEN 0.4::DOUBLE WHEN a.term LIKE '%blue%' OR b.term LIKE '%blue%' THEN 0.2::DOUBLE ELSE 0::DOUBLE END AS rel
   FROM edges JOIN nodes a ON a.id = u JOIN nodes b ON b.id = v WHERE dimension = 'emotional' AND weight >= 0.6 AND u IN (SELECT id FROM h3) AND v IN (SELECT id FROM h3)) e""")
@@ -138,7 +140,7 @@ query("f24_legacy_self_loops", "SELECT count(*) AS n FROM relationships r JOIN w
 
 query("j05_edge_ends", "SELECT u, v, a.term AS u_term, b.term AS v_term, a.valence AS u_valence, b.valence AS v_valence FROM edges JOIN nodes a ON a.id = u JOIN nodes b ON b.id = v")(lambda v: graph.ends(v.edges, v.nodes).select("u", "v", "u_term", "v_term", "u_valence", "v_valence"))
 query("j06_reachable_pairs", f"{_PATHS} SELECT DISTINCT s AS start_id, t AS end_id FROM paths")(lambda v: graph.transitions(v.edges, v.nodes, 2, 0.45).select(F.col("start").alias("start_id"), F.col("end").alias("end_id")).distinct())
-query("j13_new_nodes", "SELECT id FROM words WHERE id NOT IN (SELECT u FROM edges UNION SELECT v FROM edges)")(lambda v: v.words.select("id").join(graph.adjacency(v.edges).select(F.col("a").alias("id")), "id", "left_anti"))
+query("j13_new_nodes", "SELECT id FROM words WHERE id NOT IN (SELECT a FROM adj WHERE relationship = 'evokes')")(lambda v: v.words.select("id").join(graph.adjacency(v.edges.where("relationship = 'evokes'")).select(F.col("a").alias("id")), "id", "left_anti"))
 
 query("a01_graph_counts", "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")(lambda v: v.nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(v.edges.agg(F.count(F.lit(1)).alias("edges"))))
 query("a02_type_histogram", "SELECT relationship_type, count(*) AS n FROM resolved GROUP BY 1")(lambda v: stats.histogram(v.resolved))

@@ -83,4 +83,3 @@ query("f15_metadata_filter", "SELECT vec_id FROM vectors WHERE label = 2")(lambd
 query("t05_topk_capped", f"{_Q} SELECT vec_id FROM vectors, q ORDER BY {_METRICS['dot']}, vec_id LIMIT 100")(lambda v: vectors.search(v.vectors, _query_vector(v), 1000, "dot").select("vec_id"))
 query("k08_vector_upsert", "SELECT vec_id, CASE WHEN label = 1 THEN 9 ELSE label END AS label FROM vectors")(lambda v: (lambda items: vectors.upsert(items, items.where("label = 1").withColumn("label", F.lit(9)), 64).select(F.col("id").alias("vec_id"), "label"))(v.vectors.withColumnRenamed("vec_id", "id")))
 query("k09_vector_delete", "SELECT concat('w_', id) AS id FROM words WHERE id <> 5")(lambda v: vectors.delete(vectors.items(v.words), 5).where("content_type = 'word'").select("id"))
-query("v02_hashed_embedding")(lambda v: v.words.select("id", vectors.hashed_embedding(F.col("term")).alias("embedding")))
