@@ -55,7 +55,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """A row for each sequence; a digest stands for its ids."""
     sequences = pack(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
-    return sequences.withColumn("ids_sha256", F.sha2(F.array_join("ids", ",").cast("binary"), 256)).drop("ids")
+    return sequences.withColumn("ids_xxhash64", F.xxhash64("ids")).drop("ids")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
