@@ -305,8 +305,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     for level in range(len(lengths)):
         groups = blocks.groupBy("block")
         sent = groups.applyInArrow(send(level), _SENT) if bits is None else groups.cogroup(bits.groupBy("block")).applyInArrow(send(level), _SENT)
-        # as many tasks as buckets, whatever the session's number of shuffle partitions
-        bits = sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(repeated(level), _BITS)
+        # a task for each bucket, whatever the session's number of shuffle partitions
+        bits = sent.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket").applyInArrow(repeated(level), _BITS)
     done = blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(finish, "id long, n_words long, n_removed long, kept_text string")
     return done.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text")
 
