@@ -170,5 +170,24 @@ def test_near_duplicates(hard, hard_rows):
     assert {r.component_id for r in got if r.fingerprint == zero} == {4}
 
 
+def test_components_of_texts_by_brute_force(spark, hard, hard_rows):
+    """Fingerprints, links and component ids from the texts on, with texts that differ in a word or two."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(25):
+        base = [f"v{rng.randrange(400)}" for _ in range(rng.randint(300, 600))]
+        for j in range(4):
+            rows.append((100 * k + j, " ".join(base)))
+            base[rng.randrange(len(base))] = f"z{rng.randrange(10**6)}"
+    rows += [(5000 + i, r[1]) for i, r in enumerate(hard_rows) if len(r[1] or "") < 5000]
+    fps = {i: slow_fingerprint(t) for i, t in rows}
+    ids = sorted(fps)
+    linked = [(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= 2]
+    expected = union(ids, linked)
+    assert len(set(expected.values())) < len({fps[i] for i in ids})
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", expected[i]) for i in ids}
+
+
 def test_empty(none):
     assert exact_dedup(none).count() == substring_dedup(none).count() == near_duplicates(none).count() == 0
