@@ -15,13 +15,14 @@ A level of length L:
   decides on 128 bits, two hashes of independent seeds, with the smallest document id: among n distinct candidate
   windows two would be taken for one with a probability below n * n / 2 ** 129 (10 ** -15 for n = 10 ** 12).
 
-Texts are dealt once, by the hash of their id and size, to blocks of about ``block_mb``; all levels and the result use that
+Texts are dealt once, by the hash of their id and text, to blocks of about ``block_mb``; all levels and the result use that
 one exchange.  A block sends each distinct hash once, so a passage that is in a third of all documents is at most one entry
 for each block, and gets back one bit for each entry it sent.  All hashing and sorting is done on arrays.
 
-Defined cases: a null text has no words; a null id counts as larger than every other id, and rows without an id are dealt by
-their text; rows that share an id are one document for the comparison, so they do not remove each other's words; texts
-shorter than the window stay whole; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text has no words; a null id counts as larger than every other id; rows that share an id (or
+have none) are one document for the comparison, so they do not remove each other's words; rows that share id and text go
+through as one row with a count and are repeated in the result, so any number of them (null texts without an id, say) is one
+entry of a block; texts shorter than the window stay whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,6 +99,7 @@ class _Block:
         ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
         self.ids = [ids[i] for i in order]
+        self.copies = table.column("copies").take(pa.array(order, pa.int64()))
         self.words = [(texts[i] or "").encode().split() for i in order]
         counts = np.fromiter(map(len, self.words), np.int64, len(order))
         self.ends = np.cumsum(counts)
@@ -217,12 +219,16 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         raise ValueError("first must be between 1 and window")
     lengths = levels(window, first)
     before = lengths[-2] if len(lengths) > 1 else window
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    own, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rows = docs.select(own.alias("id"), text.alias("text"))
+    # the bytes of all rows, and whether rows share id and text
+    counted = rows.groupBy("id", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes")).agg(F.count(F.lit(1)).alias("n"))
+    size, most = counted.agg(F.sum(F.col("bytes") * F.col("n")), F.max("n")).first()
+    size, repeats = size or 0, (most or 0) > 1
+    rows = rows.groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies")) if repeats else rows.withColumn("copies", F.lit(1).cast("long"))
     n_blocks = max(8, -(-size // (block_mb << 20)))
     n_buckets = max(8, -(-size // (24 << 20)))
-    own, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    dealt = F.when(own.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(own, F.octet_length(text)))
-    blocks = docs.select(F.pmod(dealt, F.lit(n_blocks)).cast("int").alias("block"), own.alias("id"), text.alias("text"))
+    blocks = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "id", "text", "copies")
     # one plan with this one exchange of the texts, which Spark reuses for all readers; as many tasks as blocks
     blocks = blocks.repartition(n_blocks, "block")
 
@@ -274,12 +280,12 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
         return of
 
-    out_schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    out_schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("copies", pa.int64())])
     last = len(lengths) - 1
 
     def finish(table: pa.Table, flags: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _table([[], [], [], []], out_schema)
+            return _table([[], [], [], [], []], out_schema)
         block = begun(table, flags, last, keep_words=True)
         one, _, of, least = block.candidates(before)
         earlier, bits = np.zeros(len(one), bool), _bits(flags, last)
@@ -299,7 +305,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
             removed.append(b - a - kept)
             text.append(b" ".join(words if kept == b - a else compress(words, own.tolist())).decode())
             a = b
-        return _table([block.ids, n, removed, text], out_schema)
+        return _table([block.ids, n, removed, text, block.copies.to_pylist()], out_schema)
 
     bits = None
     for level in range(len(lengths)):
@@ -307,7 +313,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         sent = groups.applyInArrow(send(level), _SENT) if bits is None else groups.cogroup(bits.groupBy("block")).applyInArrow(send(level), _SENT)
         # a task for each bucket, whatever the session's number of shuffle partitions
         bits = sent.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket").applyInArrow(repeated(level), _BITS)
-    done = blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(finish, "id long, n_words long, n_removed long, kept_text string")
+    done = blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(finish, "id long, n_words long, n_removed long, kept_text string, copies long")
+    if repeats:
+        done = done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return done.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text")
 
 

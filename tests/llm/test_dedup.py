@@ -97,6 +97,15 @@ def test_substrings_without_ids(spark):
     assert got == brute_substrings(rows, 13)
 
 
+def test_substrings_of_many_rows_of_one_text(spark):
+    """Rows that share id and text, with null ids and null texts, pass as one row with a count."""
+    words = [f"w{k}" for k in range(30)]
+    text = " ".join(words)
+    rows = [(None, None)] * 400 + [(None, "")] * 3 + [(None, text)] * 300 + [(7, text)] * 200 + [(8, text + " end"), (3, " ".join(words[5:25])), (None, "other " + text)]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute_substrings(rows, 13)
+
+
 def slow_fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:
