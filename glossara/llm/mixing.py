@@ -14,7 +14,7 @@ The driver holds one row for each source and its draws, for at most ``max_source
 smaller mix.
 
 Defined cases: a null text has no words and takes part with size 0; null sources are one source; null and repeated ids
-keep their rows; sources without words have target 0; an empty table gives an empty result; other columns are ignored.
+keep their rows (rows without an id and of one size are copies that follow each other in the stream); sources without words have target 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,13 +76,21 @@ def permuted(x: Column, m: Column, seed: int, source: Column, epoch: Column, rou
 def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_sources: int, key: tuple[str, ...] = ()):
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *key))
     # one row for each source, no more than max_sources
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
+    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("id").isNull()).alias("unnamed")).limit(max_sources + 1).collect()
     if len(sums) > max_sources:
         raise ValueError(f"more than {max_sources} sources: mix by a coarser column, or raise max_sources with the driver's memory")
     sums = sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))
     return rows, sums
 
 
+def _copies(runs: DataFrame) -> DataFrame:
+    """A row for each copy of a run, one after the other in the stream; long runs are dealt out in chunks first."""
+    chunks = runs.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(CHUNK).cast("long"))))
+    chunks = chunks.repartition("src", "start", "size", "__c")
+    copies = chunks.withColumn("__k", F.explode(F.sequence(F.col("__c"), F.least(F.col("__c") + CHUNK, F.col("copies")) - 1)))
+    return copies.withColumn("start", F.col("start") + F.col("__k") * F.col("size")).drop("__c", "__k")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 128, shards: int = 64, seed: int = 20_240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000, key: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: id, size, source_size, target, taken, and blocks: array of (at, n, uses), the words at..at+n of the document that each block takes, and how often.
 
@@ -112,12 +120,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, s
     # a source's rows are dealt to buckets by their number, so one source is as many tasks as it has rows for
     named = spark.createDataFrame([(k, r["source"], sizes[k], goal[k], -(-int(r["n"]) // PER_BUCKET)) for k, r in enumerate(sums)], "src int, source string, source_size long, target double, buckets long")
     rows = lookup(rows, named, "source", n=len(sums)).drop("source")
+    unnamed = any(r["unnamed"] for r in sums)
+    if unnamed:
+        # rows without an id that nothing else tells apart are one run of copies, so they do not meet in one bucket
+        runs = rows.where("id is null").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+        rows = rows.where("id is not null").withColumn("copies", F.lit(1).cast("long")).unionByName(runs)
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
     dealt = F.when(F.col("id").isNull(), F.xxhash64("id", "size", *key)).otherwise(F.xxhash64("id", "size"))
-    rows = rows.withColumn("bucket", F.pmod(dealt, F.col("buckets"))).drop("buckets")  # also deals out rows without an id
+    rows = rows.withColumn("bucket", F.pmod(dealt, F.col("buckets"))).drop("buckets")
     upto = Window.partitionBy("src", "bucket").orderBy("id", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = cut(rows.withColumn("inner", F.coalesce(F.sum("size").over(upto), F.lit(0))))
-    outer = starts(rows.groupBy("src", "bucket").agg(F.sum("size").alias("sum")), "src", "bucket", "sum").drop("sum")
+    words = F.sum(F.col("size") * F.col("copies"))
+    rows = cut(rows.withColumn("inner", F.coalesce(words.over(upto), F.lit(0))))
+    outer = starts(rows.groupBy("src", "bucket").agg(words.alias("sum")), "src", "bucket", "sum").drop("sum")
     rows = rows.join(outer, ["src", "bucket"]).withColumn("start", F.col("start") + F.col("inner")).drop("inner", "bucket")
+    if unnamed:
+        rows = cut(rows.where("id is not null").unionByName(_copies(rows.where("id is null"))))
+    rows = rows.drop("copies")
     size = F.lit(block_words)
     first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size)
     pieces = rows.where("size > 0").select("src", "start", "size", F.explode(F.sequence(first, last)).alias("block"))

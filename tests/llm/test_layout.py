@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossara.llm import queries
+from glossara.llm import mixing, queries
 from glossara.llm.chat import escape, format_chats, read_chats, unescape
 from glossara.llm.mixing import PER_BUCKET, draw, mix, mixture, permuted, targets
 from glossara.llm.packing import best_fit, cost, joint_best_fit, pack, pieces_of
@@ -284,6 +284,23 @@ def test_mix_by_brute_force(spark, hard, hard_rows):
     assert got == {i: taken[i] for i in size}
 
 
+def test_mix_of_many_rows_without_ids(spark, monkeypatch):
+    """Rows of one size without an id are runs; long runs go by chunks, and what is taken does not depend on partitions."""
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    rows = [(None, None, "a")] * 500 + [(None, f"t{k % 3} b c d e", "a") for k in range(400)] + [(None, "one two", "b")] * 150 + [(k, "w " * (k % 40), "ab"[k % 2]) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df, block_words=16).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len((t or "").split())) for i, t, _ in rows)
+    assert all(r.taken <= 3 * r["size"] and sum(b.n * b.uses for b in r.blocks or []) == r.taken for r in got)
+    taken, goal = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        goal[r.source_size] = r.target
+    assert all(abs(taken[s] - goal[s]) <= 48 for s in goal)
+    key = lambda rows: Counter((r.doc_id, r["size"], r.taken) for r in rows)
+    assert key(mix(df.repartition(5), block_words=16).collect()) == key(got)
+
+
 def test_mix_names_its_bound(hard):
     with pytest.raises(ValueError, match="max_sources"):
         mix(hard, max_sources=1)
