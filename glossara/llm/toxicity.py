@@ -15,7 +15,7 @@ chosen without the fold's rows.  Every document is scored, over its whole text.
 with the best F1 over out-of-fold predictions; the F1 that is reported takes for each fold the threshold of the others.
 
 Defined cases: a null text scores as an empty one; labels that are null are not used for training; several labels of
-one id count as the largest; a category with one class only is predicted by its rate; without labels every probability is 0 and nothing is
+one id count as the largest, and of several texts of one id that of the smallest hash is used for training; a category with one class only is predicted by its rate; without labels every probability is 0 and nothing is
 flagged; null and repeated ids keep their rows; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -161,6 +161,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fold, pa.int32()), pa.array([words_of(t) for t in texts], pa.list_(pa.string())), pa.array([stats_of(t) for t in texts], pa.list_(pa.float64()))], ["id", "fold", "words", "stats"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen.select("id")), "id", "left_semi")
+    # a text for each id, so that repeated ids do not add to what the driver holds
+    own = own.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = cut(own.mapInArrow(tokens, "id long, fold int, words array<string>, stats array<double>").join(F.broadcast(chosen), "id"))
 
     # counts of rows and of each class, in all and in each fold

@@ -192,6 +192,13 @@ def test_toxicity_with_other_column_names(spark):
     assert sum(got[r[0]] == bool(r[3]) for r in rows) > 0.9 * len(rows)
 
 
+def test_repeated_ids_train_once(spark):
+    rows = chain_rows(60, 5)
+    docs = spark.createDataFrame([r[:2] for r in rows] * 3 + [(1, f"text {k}") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    assert fit_chain(docs, labels)["rows"] == 60
+
+
 def test_copies_share_a_fold(spark):
     rows = chain_rows(200, 4)
     docs = spark.createDataFrame([r[:2] for r in rows] + [(1000 + r[0], r[1]) for r in rows], "doc_id long, text string")
