@@ -3,21 +3,22 @@
 A group is all rows of one text.  Groups, of one row or many, that weigh more than a 4096th of the corpus in some measure
 (so fewer than 3 * 4096 of them) are placed first, largest first, each where the dot product of its vector with the
 residual capacity is highest.  A group stays whole in one shard unless its bytes exceed a shard; then no law of bytes can
-hold with it whole, and its rows are cut by their id into pieces of about a quarter of a shard.  All others are dealt into
-buckets of about ``per_bucket`` rows by the hash of their text, and each bucket places its groups, largest first, by the
-same rule against its share of what the shards have left.  No task sees more than one bucket, and the buckets' errors, of
-about their smallest groups, do not add up in one direction.  Shards differ in bytes by no more than about the largest
+hold with it whole, and its rows are cut by their id into pieces of about a quarter of a shard.  All others, one entry for
+each group, are dealt into buckets of about ``per_bucket`` groups by the hash of their text, and each bucket places its
+groups, largest first, by the same rule against its share of what the shards have left.  No task sees more than one bucket,
+and the buckets' errors, of about their smallest groups, do not add up in one direction.  Rows learn their group's shard
+by a join and are numbered inside buckets of a shard.  Shards differ in bytes by no more than about the largest
 row; a group of many short rows may take its shard's rows and tokens off the mean, as groups stay together.
 
 Defined cases: a null text has no bytes and no tokens and forms one group with empty texts; rows are never dropped, also
-those with a null or repeated id; an empty table gives an empty result; other columns are ignored.
+those with a null or repeated id (the slots of rows without an id follow from the order in which they are read); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import buckets_for, cut, n_words, starts
 
@@ -58,14 +59,15 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
             n_words(F.col(text_col)).alias("tokens"),
             F.crc32(binary).alias("crc"),
             F.unhex(F.sha2(binary, 256)).alias("digest"),
+            # rows without an id are told apart by where they stand, so they do not meet in one piece or bucket
+            F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("salt"),
         )
     )
     groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("tokens").alias("tokens"))
     groups = cut(groups)
-    total = groups.agg(F.sum("size"), F.sum("tokens"), F.sum("n")).first()
-    whole = np.array([float(x or 0) for x in total])
+    total = groups.agg(F.sum("size"), F.sum("tokens"), F.sum("n"), F.count(F.lit(1))).first()
+    whole, n_groups = np.array([float(x or 0) for x in total[:3]]), int(total[3])
     n_rows = int(whole[2])
-    n_buckets = buckets_for(n_rows, per_bucket)
     capacity = np.maximum(whole / shards, 1.0)
     residual = np.tile(whole / shards, (shards, 1))
 
@@ -75,37 +77,38 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     # only bytes cut a group, and only above a shard
     cuts = [min(int(g["n"]), -(-4 * int(g["size"]) // int(capacity[0]))) if g["size"] > capacity[0] else 1 for g in big]
-    table = spark.createDataFrame([(bytes(g["digest"]), k, c) for k, (g, c) in enumerate(zip(big, cuts))], "digest binary, grp int, cuts int")
+    table = F.broadcast(spark.createDataFrame([(bytes(g["digest"]), k, c) for k, (g, c) in enumerate(zip(big, cuts))], "digest binary, grp int, cuts int"))
     # rows of a cut group go to pieces by their id, so pieces are counted before they are placed: all groups together
     # have no more pieces than quarters of a shard that they fill
-    rows = rows.join(F.broadcast(table), "digest", "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
-    counted = rows.where("grp is not null").groupBy("grp", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).orderBy("grp", "piece").collect()
+    own = rows.join(table, "digest").withColumn("piece", F.pmod(F.xxhash64("id", "salt"), F.col("cuts")).cast("int"))
+    counted = own.groupBy("grp", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).orderBy("grp", "piece").collect()
     vectors = np.array([(p["size"], p["tokens"], p["n"]) for p in counted], float).reshape(-1, 3)
     given = place(vectors, residual, capacity) if len(counted) else []
-    placed = spark.createDataFrame([(p["grp"], p["piece"], int(s)) for p, s in zip(counted, given)], "grp int, piece int, given int")
-    rows = rows.join(F.broadcast(placed), ["grp", "piece"], "left").select(
-        "id", "size", "tokens", "crc", "digest", "given",
-        F.pmod(F.when(F.col("given").isNull(), F.xxhash64("digest")).otherwise(F.xxhash64("id", "size")), F.lit(n_buckets)).cast("int").alias("bucket"),
-    )
+    placed = spark.createDataFrame([(p["grp"], p["piece"], int(s)) for p, s in zip(counted, given)], "grp int, piece int, shard int")
+    own = own.join(F.broadcast(placed), ["grp", "piece"])
     free = residual.copy()
 
     def of_bucket(key, pdf):
-        pdf = pdf.sort_values(["digest", "id", "size"], kind="stable").reset_index(drop=True)
-        spot = pdf["given"].to_numpy("float64", na_value=np.nan)
-        loose = np.isnan(spot)
-        if loose.any():
-            own = pdf.loc[loose]
-            code, _ = pd.factorize(own["digest"])
-            vec = np.column_stack([np.bincount(code, own["size"]), np.bincount(code, own["tokens"]), np.bincount(code)]).astype(float)
-            share = vec.sum(axis=0) / np.maximum(free.sum(axis=0), 1e-9)
-            spot[loose] = place(vec, free * share, capacity * share[0], turn=int(key[0]))[code]
-        spot = spot.astype(np.int32)
-        local = pd.Series(spot).groupby(spot).cumcount()
-        return pd.DataFrame({"id": pdf["id"].astype("Int64"), "size": pdf["size"], "tokens": pdf["tokens"], "crc": pdf["crc"], "bucket": pdf["bucket"], "shard": spot, "local": local})
+        pdf = pdf.sort_values("digest", kind="stable")
+        vec = pdf[["size", "tokens", "n"]].to_numpy(float)
+        share = vec.sum(axis=0) / np.maximum(free.sum(axis=0), 1e-9)
+        return pd.DataFrame({"digest": pdf["digest"], "shard": place(vec, free * share, capacity * share[0], turn=int(key[0]))})
 
-    out = cut(rows.groupBy("bucket").applyInPandas(of_bucket, "id long, size long, tokens long, crc long, bucket int, shard int, local long"))
+    # one row for each text: a bucket holds no rows of documents
+    loose = groups.join(table, "digest", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets_for(n_groups, per_bucket))).cast("int"))
+    spots = loose.groupBy("bucket").applyInPandas(of_bucket, "digest binary, shard int")
+    # the large groups take no part in this shuffle, so no key has more than a BIG-th of the rows
+    rest = rows.join(table, "digest", "left_anti").join(spots, "digest")
+    out = own.select(*rows.columns, "shard").union(rest.select(*rows.columns, "shard"))
+
+    # slots: rows are numbered in buckets of a shard, those without an id in buckets after all others
+    n_buckets = buckets_for(n_rows, per_bucket)
+    after = F.when(F.col("id").isNull(), F.lit(n_buckets)).otherwise(F.lit(0))
+    out = out.withColumn("bucket", (F.pmod(F.xxhash64("id", "digest", "salt"), F.lit(n_buckets)) + after).cast("int"))
+    local = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "digest", "salt")) - 1
+    out = cut(out.select("id", "size", "tokens", "crc", "shard", "bucket", local.alias("local")))
     # a row for each bucket and shard
     offsets = starts(out.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")), "shard", "bucket", "n").drop("n")
     return out.join(offsets, ["bucket", "shard"]).select(
-        F.col("id").alias(id_col), "size", "tokens", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + F.col("local")).alias("slot")
+        F.col("id").alias(id_col), "size", "tokens", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + F.col("local")).cast("long").alias("slot")
     )

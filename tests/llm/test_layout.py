@@ -77,6 +77,18 @@ def test_half_shard_texts_and_many_null_texts(spark):
     assert len({r.shard for r in got if r.doc_id >= 10_000}) == 1 and slots_are_gapless(got)
 
 
+def test_a_hot_text_without_ids_is_cut(spark):
+    """Rows that nothing tells apart still fill several shards, and rows with ids keep their slots whatever their number."""
+    rows = [(None, "hot text " * 20)] * 3000 + [(None, None)] * 500 + [(k, f"{k} " + "z" * (k * 37 % 900)) for k in range(3000)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), per_bucket=200).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    mean = sum(size.values()) / 16
+    assert len(got) == len(rows) and slots_are_gapless(got) and all(abs(x - mean) < 0.05 * mean for x in size.values())
+    assert len({r.shard for r in got if r["size"] == 181}) > 3 and len({r.shard for r in got if r["size"] == 1}) == 1
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_shards_of_the_test_tables(spark, sf):
