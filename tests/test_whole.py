@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from glossara.operators import clusters, vectors
@@ -21,6 +22,22 @@ def test_betweenness_by_source(spark):
     assert clusters.betweenness_by_source(edges.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("cells", [4, 2_000_000])
+def test_betweenness_of_any_size(spark, monkeypatch, cells):
+    """More edges than the driver may collect; components of all sizes in bundles, alone and in shares of their nodes."""
+    rng = random.Random(8)
+    pairs = [(a, a + 1) for a in range(1000, 1040)] + [(2000, k) for k in range(2001, 2030)] + [(3000, 3000)]
+    for k in range(25):
+        size = rng.choice((2, 3, 5, 9, 30))
+        pairs += [(100 * k + rng.randrange(size), 100 * k + 50 + rng.randrange(size)) for _ in range(3 * size)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(set(pairs))], "u long, v long, weight double").repartition(3)
+    expected = clusters.betweenness(edges)
+    for name, value in {"MAX_EDGES": 100, "BUNDLE": 40, "SHARE": 300.0, "WIDTH": 4, "CELLS": cells, "SPAN": 64}.items():
+        monkeypatch.setattr(clusters, name, value)
+    got = {r.id: r.score for r in clusters.betweenness_by_source(edges).collect()}
+    assert got.keys() == expected.keys() and all(math.isclose(got[k], x, abs_tol=2e-6) for k, x in expected.items())
+
+
 def test_cluster_queries_take_all_edges(spark):
     d = "/root/testdata/sf0.001"
     edges = adapters.Views(spark, d).edges
