@@ -42,6 +42,14 @@ def add_terms(words: DataFrame, terms: DataFrame, lower: bool = True) -> DataFra
     return numbered(fresh, "term").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("place") + 1).alias("id"), "term")
 
 
+def start_conversations(messages: DataFrame, queue: DataFrame) -> DataFrame:
+    """(id, user_id): a conversation for each user of the queue, after the largest one of messages, in the order of the users
+    (null last); ids are null where messages has none, as in SQL."""
+    users = queue.select(F.struct(F.col("user_id").isNull().alias("none"), "user_id").alias("user")).distinct()
+    top = messages.agg(F.max("conversation_id").alias("top"))  # one row is broadcast
+    return numbered(users, "user").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("place") + 1).alias("id"), "user.user_id")
+
+
 def insert_relationships(relationships: DataFrame, words: DataFrame, new: DataFrame) -> DataFrame:
     """New (word_id, related_term, relationship_type) rows: valid, with a known base term, not there yet, once each."""
     ok = new.where("trim(base) <> '' and trim(related_term) <> '' and trim(relationship_type) <> '' and base <> related_term")

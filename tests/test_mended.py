@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from glossara import extensions
 from glossara.errors import InvalidInputError
-from glossara.operators import clusters, graph, store, vectors
+from glossara.operators import clusters, graph, numbering, store, vectors
 from glossara.operators.numbering import numbered
+from glossara.plans import registry
 from glossara.sources import lexicons, sinks
 from glossara.sources.turtle import triples
 
+registry.load()
+
 
 def test_numbers_follow_the_order(spark):
     """Terms with one beginning, and ids that cluster: ranges are cut by what is there."""
@@ -165,3 +168,21 @@ def test_as_completed_and_formats(spark, tmp_path):
     assert times["x"] >= 0
     with pytest.raises(InvalidInputError, match="graphml"):
         sinks.write_graph(spark.range(1), spark.range(1), str(tmp_path), "graphml")
+
+
+def test_start_conversations_in_order_of_users(spark):
+    """Users of any sign and length, null last."""
+    users = [5, 3, None, -7, -20, 10**14, 3]
+    queue = spark.createDataFrame([(u,) for u in users], "user_id long").repartition(3)
+    messages = spark.createDataFrame([(k % 9 + 1,) for k in range(50)], "conversation_id long")
+    started = store.start_conversations(messages, queue)
+    assert sorted((r.id, r.user_id) for r in started.collect()) == list(enumerate([-20, -7, 3, 5, 10**14, None], 10))
+    assert all(r.id is None for r in store.start_conversations(messages.where("false"), queue).collect())
+
+
+def test_start_conversations_plan(spark, monkeypatch):
+    """What is numbered is the users alone: messages give one row."""
+    plans = []
+    monkeypatch.setattr(numbering, "fixed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df.checkpoint())
+    registry.QUERIES["k05_start_conversations"](spark, "/root/testdata/sf0.001").collect()
+    assert plans and all("NestedLoop" not in p and "Cartesian" not in p and "conv_id" not in p for p in plans)
