@@ -1,11 +1,15 @@
-"""Near-duplicate texts by the Jaccard similarity of their word shingles: MinHash bands propose, words decide.
+"""Near-duplicate texts by the Jaccard similarity of their word shingles: SimHash fingerprints and MinHash bands propose,
+words decide.
 
 Texts are lower-cased and cut into ``shingle`` words; two texts link at a similarity of 4/5 or more.  Texts with equal
-shingle sets are one node from the start.  A node gives BANDS keys, each of ROWS minima; nodes that share a key are joined
-by a star for each key (never all pairs), and the components of the stars are the candidates.  Inside a candidate component
-every pair that can reach the similarity is found by its rarest shingles (a prefix filter) and compared by its words, unless
-both texts are linked already.  So no link is wrong, and one is missed only if its texts share no band and no chain of bands
-joins them: (1 - 0.8 ** 6) ** 32 = 0.00006 for a pair at exactly 0.8, less above.
+shingle sets are one node from the start.  A node's fingerprint is the majority of its shingles' hashes; fingerprints at two
+or fewer differing bits are joined by op4's covering LSH (``simhash.links``), so of these none is missed.  Most pairs at 4/5
+differ in more bits, so a node also gives BANDS keys, each of ROWS minima; nodes that share a key are joined by a star for
+each key (never all pairs).  The components of all these edges, by large-star and small-star steps, are the candidates.
+Inside a candidate component every pair that can reach the similarity is found by its rarest shingles (a prefix filter) and
+compared by its words, unless both texts are linked already.  So no link is wrong, and one is missed only if its texts differ
+in more than two bits, share no band and no chain of both joins them: (1 - 0.8 ** 6) ** 32 = 0.00006 for a pair at exactly
+0.8, less above.
 
 A task holds no more than about ``chunk`` texts, whatever the component's size (chunk_bytes bounds their length, too):
 
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, lookup, text_digest
 from .components import components
+from .simhash import links, majority
 
 SEED, BANDS, ROWS = 42, 32, 6
 #: Similarity from which texts link, as a fraction.
@@ -124,6 +129,13 @@ def linked(sets: list[np.ndarray], some: np.ndarray | None = None) -> np.ndarray
     return label
 
 
+def covered(nodes: DataFrame) -> DataFrame:
+    """(node, centre): stars that connect the nodes (node, fp) as all pairs of fingerprints at two or fewer bits do."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")))
+    same = nodes.join(prints.where("n > 1"), "fp").where("node != centre").select("node", "centre")
+    return same.union(links(prints.select(F.col("centre").alias("node"), "fp")).select("b", "a"))
+
+
 def near_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, chunk: int = 4_000, chunk_mb: int = 8) -> DataFrame:
     """(id, digest): the id and text digest of the row that is chosen of each component."""
 
@@ -131,16 +143,18 @@ def near_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         for batch in batches:
             hashes = [shingle_hashes(words_of(t.as_py()), shingle) for t in batch.column(2)]
             sets = [xxhash.xxh3_128_digest(h.tobytes()) for h in hashes]
+            fp = np.array([majority(h) if len(h) else 0 for h in hashes], np.uint64).view(np.int64)
             bands = [band_keys(h) if len(h) else [] for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "set", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(fp), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "set", "fp", "bands"])
 
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), text_digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(keyed.mapInArrow(signed, "id long, digest string, set binary, bands array<long>"))
+    rows = cut(keyed.mapInArrow(signed, "id long, digest string, set binary, fp long, bands array<long>"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("least")
-    nodes = cut(rows.groupBy("set").agg(least, F.any_value("bands").alias("bands")).withColumn("node", F.xxhash64("set")))
+    nodes = cut(rows.groupBy("set").agg(least, F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")).withColumn("node", F.xxhash64("set")))
     keys = nodes.select("node", F.explode("bands").alias("key"))
     centre = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    candidates = components(keys.join(centre, "key").where("node != centre").select("node", "centre"), "node", "centre")
+    shared = keys.join(centre, "key").where("node != centre").select("node", "centre")
+    candidates = components(shared.union(covered(nodes)), "node", "centre")
 
     members = nodes.select("set", "node", F.col("least.id").alias("__id"), F.col("least.digest").alias("__digest")).join(candidates, "node")
     # texts of the candidates only; rows that repeat an id and its text are told apart where they meet

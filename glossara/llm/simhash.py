@@ -43,13 +43,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
         starts = np.r_[0, ends[:-1] + 1]
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    n = len(hashes)
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half of the hashes."""
     # votes in slices, so that a very long text needs little memory
     votes = np.zeros(BITS, np.int64)
-    all_ = np.array(hashes, "<u8")
-    for a in range(0, n, 1 << 16):
-        votes += np.unpackbits(all_[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(votes * 2 > n, bitorder="little")
+    for a in range(0, len(hashes), 1 << 16):
+        votes += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(votes * 2 > len(hashes), bitorder="little")
     return int(bits.view("<u8")[0])
 
 

@@ -5,7 +5,10 @@ import random
 import numpy as np
 import pytest
 
-from glossara.llm.near_dedup import linked, near_kept
+from glossara.llm import near_dedup
+from glossara.llm.components import components
+from glossara.llm.near_dedup import covered, linked, near_kept, shingle_hashes, words_of
+from glossara.llm.simhash import majority
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -98,3 +101,31 @@ def test_linked_against_brute_force():
                     x, y = sorted((label[i], label[j]))
                     label = [x if z == y else z for z in label]
         assert linked(sets).tolist() == label
+
+
+def test_fingerprints_are_covered(spark):
+    """The stage's SimHash step: every pair within two bits is joined, whatever else proposes it."""
+    rng = random.Random(11)
+    prints = [rng.getrandbits(64) for _ in range(30)]
+    for f in prints[:20]:
+        prints += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)), f ^ (7 << rng.randrange(60)), f]
+    nodes = spark.createDataFrame([(k, f - (f >> 63 << 64)) for k, f in enumerate(prints)], "node long, fp long").repartition(3)
+    label = list(range(len(prints)))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= 2:
+                x, y = sorted((label[i], label[j]))
+                label = [x if z == y else z for z in label]
+    got = {r.node: r.component for r in components(covered(nodes), "node", "centre").collect()}
+    assert [got.get(k, k) for k in range(len(prints))] == label
+
+
+def test_near_takes_fingerprints_where_no_band_is_shared(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(words), " ".join(words[:2999] + ["other"]), " ".join(f"x{rng.randrange(10**6)}" for _ in range(300))]
+    a, b = (majority(shingle_hashes(words_of(t))) for t in texts[:2])
+    assert (a ^ b).bit_count() <= 2
+    monkeypatch.setattr(near_dedup, "band_keys", lambda hashes: [])
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], SCHEMA).repartition(2)
+    assert sorted(r.doc_id for r in near_kept(docs).collect()) == [0, 2]
